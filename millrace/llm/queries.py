@@ -25,6 +25,20 @@ def hex64(col):
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.decontaminate import covered, hits
+
+    found = hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        covered("spans").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.simhash import near_duplicates
 
@@ -41,9 +55,64 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.quality import judge
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
+    "op8_quality": op8_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SPACED = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {ITEM_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {ITEM_WORDS} AS ws FROM benchmark),
+bs AS (SELECT item_id, ws, least(len(ws), 10) AS k FROM b WHERE len(ws) > 0),
+bi AS (SELECT item_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM bs),
+win AS (SELECT DISTINCT item_id, k, list_slice(ws, i, i + k - 1) AS w FROM bi),
+lens AS (SELECT DISTINCT k FROM win),
+di AS (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, lens),
+dw AS (SELECT rid, k, i, list_slice(ws, i, i + k - 1) AS w FROM di),
+hit AS (SELECT rid, dw.k, i, item_id FROM dw JOIN win ON dw.k = win.k AND dw.w = win.w),
+pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hit) GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hit) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (rid) LEFT JOIN it USING (rid)
+"""
+
+OP8_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {SPACED.format("t")} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+wi AS (SELECT rid, unnest(range(1, len(ws) - 6)) AS i, ws FROM w WHERE len(ws) >= 8),
+ww AS (SELECT rid, i, list_slice(ws, i, i + 7) AS v FROM wi),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, v) AS c FROM ww) WHERE c > 1),
+rw AS (SELECT rid, count(DISTINCT p) AS n_repeat FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY rid),
+sk AS (SELECT rid, source, coalesce(list_max(list_transform(ws, lambda x: {{'n': length(x), 'w': x}})).w, '') AS sketch, ls FROM w),
+ln AS (SELECT rid, source, sketch, unnest(ls) AS l FROM sk),
+nl AS (SELECT rid, source, sketch, trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS l, len({SPACED.format("l")}) AS lw FROM ln),
+fr AS (SELECT source, l, count(DISTINCT sketch) AS n FROM nl GROUP BY source, l),
+ho AS (SELECT source, count(DISTINCT sketch) AS docs FROM sk GROUP BY source),
+bad AS (SELECT fr.source, l FROM fr JOIN ho ON fr.source IS NOT DISTINCT FROM ho.source WHERE n > 10 AND n > 0.05::DOUBLE * docs),
+gone AS (SELECT rid, sum(lw) AS n_gone FROM nl JOIN bad ON nl.source IS NOT DISTINCT FROM bad.source AND nl.l = bad.l GROUP BY rid),
+s AS (SELECT rid, doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines FROM w)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words,
+  n_words < 20 OR 100 * coalesce(n_repeat, 0) > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * coalesce(n_repeat, 0) > 30 * n_words) AND n_words - coalesce(n_gone, 0) >= 0.3::DOUBLE * n_words AS kept
+FROM s LEFT JOIN rw USING (rid) LEFT JOIN gone USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": OP1_SQL,
+    "op8_quality": OP8_SQL,
+}
