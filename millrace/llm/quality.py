@@ -26,6 +26,7 @@ from millrace.llm.common import checkpointed, lower_ascii, words_of
 FLOOR, SHARE, LEAST = 10, 0.05, 0.3
 WINDOW = 8
 BROADCAST_BYTES = 32 << 20
+NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left", "clean_text", "base_failed", "kept")
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\f\r"
 
@@ -91,4 +92,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", floor: int
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     w = w.withColumn("clean_text", clean).withColumn("base_failed", failed)
     w = w.withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= least * F.col("n_words")))
-    return w.drop("_host", "_flags", "_words", "_lines", "_hashes", "_sorted", "_found", "_gone")
+    # One generated row: a filter on the verdict can't move below it, where it would copy
+    # the expressions above into the lambdas and evaluate them for every word.
+    kept = [c for c in docs.columns if c not in NEW]
+    return w.select(*kept, F.explode_outer(F.array(F.struct(*NEW))).alias("_new")).select(*kept, "_new.*")

@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,8 +80,6 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     masks = F.array(*[F.lit(m).cast("long") for m in ball(radius // 2)])
     rows = nodes.select("node", "fp", F.explode(masks).alias("mask"))
     rows = rows.select("node", "mask", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    from pyspark.sql import Window
-
     own = Window.partitionBy("variant")
     head = F.min(F.struct("node", "mask")).over(own)
     pairs = rows.select(head.alias("head"), "node", "mask").where(F.col("head.node") < F.col("node"))
@@ -119,21 +117,98 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, doc_id:
     return own.join(found, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id.
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def sketch_of(text: str) -> tuple[int, int, int, int]:
+    """A 128-bit SimHash of the distinct words, and a 128-bit hash of their sequence, as signed numbers."""
+    words = _words(text)
+    own = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words), SEED), dtype=">i8")
+    distinct = sorted(set(words))
+    ones = np.zeros(128, dtype=np.int64)
+    for k in range(0, len(distinct), BLOCK):
+        each = b"".join([xxhash.xxh3_128_digest(w, SEED) for w in distinct[k : k + BLOCK]])
+        ones += np.unpackbits(np.frombuffer(each, np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
+    bits = np.packbits(2 * ones > len(distinct)).view(">i8")
+    return int(bits[0]), int(bits[1]), int(own[0]), int(own[1])
+
+
+def shingles_of(text: str, shingle: int) -> list[int]:
+    """Distinct hashes of the word shingles; fewer words count as one shingle."""
+    words = _words(text)
+    if not words:
+        return []
+    digest = xxhash.xxh64_intdigest
+    own = {digest(b" ".join(words[k : k + shingle]), SEED) for k in range(max(1, len(words) - shingle + 1))}
+    return [h - (1 << 64) if h >> 63 else h for h in own]
+
+
+def small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """Broadcast a materialised table if its measured size allows, else leave the join to shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def table_links(nodes: DataFrame) -> DataFrame:
+    """Candidate edges (a, b) among ``nodes(node, s0, s1)``: 2 bits at most in one of four 32-bit tables.
+
+    Nodes with one fingerprint in a table form a star, then the distinct fingerprints'
+    balls meet as in ``links``; so no bucket outgrows a ball.
+    """
+    cut = lambda c, k: F.shiftrightunsigned(F.col(c), 32 * k).bitwiseAND(F.lit(0xFFFFFFFF))
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), cut(f"s{t // 2}", t % 2).alias("f")) for t in range(4)])
+    rows = nodes.select("node", F.explode(tables).alias("x")).select("node", "x.t", "x.f")
+    heads = checkpointed(rows.groupBy("t", "f").agg(F.min("node").alias("head")))
+    same = rows.join(heads, ["t", "f"]).where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    masks = F.array(*[F.lit(m).cast("long") for m in ball(1, 32)])
+    spread = heads.select("head", "t", "f", F.explode(masks).alias("mask")).select("head", F.expr("shiftleft(cast(t as bigint), 32) | (f ^ mask)").alias("variant"))
+    least = F.min("head").over(Window.partitionBy("variant"))
+    meet = spread.select(least.alias("a"), F.col("head").alias("b")).where("a < b")
+    return same.union(meet).distinct()
+
+
+def shingle_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id): groups linked by a Jaccard similarity of word shingles.
+
+    Candidates meet in one of four tables of a 128-bit SimHash of the words, survive
+    a test of all 128 bits, and are verified on the shingle sets of their whole
+    texts. Texts of the same words are one node. Links are sought along stars: a
+    group's members are compared with its smallest id in each table, not all with all.
+    """
 
-    Rows without an id can't be told apart by id and stay only if no row with an id
-    is near; of several rows with the kept id, one stays.
+    def sketches():
+        def step(batch):
+            found = [sketch_of(t) for t in texts_of(batch, "text")]
+            return [[x[k] for x in found] for k in range(4)]
+
+        return step
+
+    def sets():
+        return lambda batch: [[shingles_of(t, shingle) for t in texts_of(batch, "text")]]
+
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
+    four = [(c, T.LongType()) for c in ("s0", "s1", "k0", "k1")]
+    marked = checkpointed(map_rows(own, sketches, four, ["doc_id"]))
+    nodes = checkpointed(marked.groupBy("k0", "k1", "s0", "s1").agg(F.min("doc_id").alias("node")))
+    bits = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
+    pairs = table_links(nodes).join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
+    pairs = checkpointed(pairs.where(bits("s0") + bits("s1") <= 28).select("a", "b"))
+    asked = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    shingled = map_rows(own.join(small(asked, 16), "doc_id", "left_semi"), sets, [("set", T.ArrayType(T.LongType()))], ["doc_id"])
+    shingled = checkpointed(shingled.dropDuplicates(["doc_id"]))
+    x, y = shingled.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), shingled.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    near = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
+    labels = components(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"))
+    found = nodes.join(labels, "node", "left").select("k0", "k1", F.coalesce("label", "node").alias("component_id"))
+    return marked.join(found, ["k0", "k1"]).select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, marked: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Drop the documents whose component's smallest id, by ``marked``, is another's.
+
+    Rows without an id stay, as nothing tells them apart; rows that repeat an id stay
+    or go together.
     """
-    marked = checkpointed(near_duplicates(docs, shingle, radius, doc_id, text))
-    heads = marked.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.join(heads.select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi").select(docs.columns)
-    if heads.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates([doc_id])
-    if marked.where("component_id is null").limit(1).count():
-        kept = kept.unionByName(docs.where(F.col(doc_id).isNull()).join(fingerprint_only(marked), F.lit(True), "left_semi"))
-    return kept
-
-
-def fingerprint_only(marked: DataFrame) -> DataFrame:
-    return marked.where("component_id is null").select("fp").limit(1)
+    gone = checkpointed(marked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(small(gone, 16), F.col(doc_id) == F.col("_gone"), "left_anti")
