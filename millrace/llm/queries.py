@@ -55,6 +55,21 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.common import fresh_path
+    from millrace.llm.warc import read_archives, write_archives
+
+    at = fresh_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), at)
+    return read_archives(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.quality import judge
 
@@ -76,7 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
+    "op7_warc": op7_warc,
     "op8_quality": op8_quality,
+    "op9_urls": op9_urls,
     "op10_secrets": op10_secrets,
 }
 
@@ -123,7 +140,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat, 0
 FROM s LEFT JOIN rw USING (rid) LEFT JOIN gone USING (rid)
 """
 
+_SEG = "list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(regexp_replace(s, '[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{16,}', '<x>', 'g'), '[0-9]+', '<n>', 'g'))"
+_LEVELS = "".join(
+    f"""
+c{k} AS (SELECT *, coalesce(seg[{k + 1}], '') AS child FROM t{k}),
+w{k} AS (SELECT host AS wh, tmpl AS wt FROM c{k} WHERE child <> '' GROUP BY host, tmpl HAVING count(DISTINCT child) > 16),
+t{k + 1} AS (SELECT page_id, host, path, rule, told, seg, CASE WHEN child = '' THEN parent ELSE tmpl END AS parent,
+  tmpl || CASE WHEN child = '' THEN '' WHEN wh IS NOT NULL THEN '/<*>' ELSE '/' || child END AS tmpl
+  FROM c{k} LEFT JOIN w{k} ON host = wh AND tmpl = wt),"""
+    for k in range(4)
+)
+OP9_SQL = f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(told, rule, rh, rp) AS (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
+hh AS (SELECT row_number() OVER () AS rid, * FROM h),
+f AS (SELECT rid, arg_max(rule, length(rule)) AS rule, arg_max(told, length(rule)) AS told FROM hh, r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY rid),
+t0 AS (SELECT page_id, host, path, rule, told, {_SEG} AS seg, '' AS parent, '' AS tmpl FROM hh LEFT JOIN f USING (rid)),{_LEVELS}
+n AS (SELECT host, parent, tmpl, sum((told = 'block')::INT)::DOUBLE AS bad, count(*)::DOUBLE AS n FROM t4 WHERE told IS NOT NULL GROUP BY ALL),
+p AS (SELECT coalesce(sum(bad), 0) / greatest(coalesce(sum(n), 0), 1) AS prior FROM n),
+fam AS (SELECT host AS fh, parent AS fp, sum(bad) AS fbad, sum(n) AS fn FROM n GROUP BY ALL),
+m AS (SELECT *, fbad / fn AS q, fn - n AS rest FROM n JOIN fam ON host = fh AND parent = fp, p),
+e AS (SELECT *, rest > 0 AND abs(bad / n - (fbad - bad) / greatest(rest, 1)) <= 1.96 * sqrt(q * (1 - q) * (1 / n + 1 / greatest(rest, 1))) AS alike FROM m),
+g AS (SELECT DISTINCT host AS gh, tmpl AS gt FROM e WHERE (CASE WHEN alike THEN fbad ELSE bad END + 5 * prior) / (CASE WHEN alike THEN fn ELSE n END + 5) >= 0.8)
+SELECT page_id, host, path, rule, coalesce(told, CASE WHEN gh IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM t4 LEFT JOIN g ON host = gh AND tmpl = gt
+"""
+
+_BITS = "list_aggregate(list_transform(string_split(sha1(html), ''), lambda c: lpad(bin(('0x' || c)::INT), 4, '0')), 'string_agg', '')"
+OP7_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+b AS (SELECT *, {_BITS} AS bits FROM f)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_position({[format(i, "05b") for i in range(32)]}, substr(bits, 5 * i + 1, 5)) - 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
+    "op7_warc": OP7_SQL,
     "op8_quality": OP8_SQL,
+    "op9_urls": OP9_SQL,
 }
