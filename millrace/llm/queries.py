@@ -55,6 +55,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.ngram_lm import score
+
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.common import fresh_path
     from millrace.llm.warc import read_archives, write_archives
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
+    "op5_lm": op5_lm,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
