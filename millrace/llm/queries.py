@@ -46,6 +46,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path; source and language serve as directories."""
+    from millrace.llm.license_scan import scan
+
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+    return found.select("doc_id", "license", "license_score", "license_from")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.bpe import bpe_round_trip
 
@@ -61,6 +70,13 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.html_extract import extract_text
+
+    found = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.common import fresh_path
     from millrace.llm.warc import read_archives, write_archives
@@ -96,8 +112,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
+    "op3_licenses": op3_licenses,
     "op4_bpe": op4_bpe,
     "op5_lm": op5_lm,
+    "op6_html": op6_html,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
