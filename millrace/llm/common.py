@@ -64,6 +64,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """Broadcast a materialised table if its measured size allows, else leave the join to shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def packed(df: DataFrame, drop: tuple[str, ...] = (), **needed) -> DataFrame:
+    """(row, needed...): all columns of ``df`` but ``drop`` inside one struct, so that no name of theirs clashes."""
+    gone = {n.lower() for n in drop}
+    kept = [df[f"`{c}`"] for c in df.columns if c.lower() not in gone]
+    return df.select(F.struct(*(kept or [F.lit(None).alias("_none")])).alias("row"), *(c.alias(n) for n, c in needed.items()))
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again: for what several steps need."""
+    at = fresh_path(df.sparkSession, what)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def lower_ascii(col):
     """Lower-case A-Z alone; F.lower would touch other alphabets."""
     return F.translate(col, UPPER, UPPER.lower())

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ITEM_CLASS, checkpointed, lower_ascii, words_of
+from millrace.llm.common import ITEM_CLASS, checkpointed, lower_ascii, packed, small, words_of
 
 BROADCAST_BYTES = 64 << 20
 
@@ -86,8 +86,8 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id",
     found = met.groupBy("doc_id", "text_hash").agg(
         F.sum("row").cast("int").alias("copies"),
         F.max("n_words").alias("n_words"),
-        F.array_sort(F.collect_set(F.when(F.col("row") == 0, span))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.sort_array(F.collect_set(F.when(F.col("row") == 0, span))).alias("spans"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
 
@@ -104,18 +104,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, mode: str = "d
 
     Cutting drops each hit word with the separators before it.
     """
-    found = hits(docs, items, n, doc_id, text).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).distinct()
-    own = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_hash"))
+    found = hits(docs, items, n, doc_id, text).where(F.size("spans") > 0).select("doc_id", "text_hash", "spans").distinct()
+    own = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    rows = packed(docs, id=F.col(doc_id), hash=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     if mode == "documents":
-        return docs.join(found, own, "left_anti")
+        gone = small(checkpointed(found.select("doc_id", "text_hash")), 24)
+        return rows.join(gone, own, "left_anti").select("row.*")
     if mode != "spans":
         raise ValueError("mode is documents or spans")
-    lower = lower_ascii(F.col(text))
-    pieces = F.regexp_extract_all(lower, F.lit(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
-    marked = docs.join(found, own, "left").withColumn("_size", F.when(F.col("_hash").isNotNull(), F.transform(pieces, F.length)))
-    ends = F.aggregate("_size", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    marked = marked.withColumn("_ends", F.when(F.col("_hash").isNotNull(), ends))
-    kept = F.transform("_size", lambda x, i: F.when(F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["stop"])), F.lit("")).otherwise(F.substring(F.col(text), F.get("_ends", i) + 1, x)))
-    tail = F.expr(f"substring(`{text}`, element_at(_ends, -1) + 1)")
-    new = F.when(F.col("_hash").isNotNull(), F.concat(F.array_join(kept, ""), tail)).otherwise(F.col(text))
-    return marked.withColumn(text, new).select(docs.columns)
+    rows = rows.withColumn("text", F.col(f"row.`{text}`"))
+    hit = F.col("text_hash").isNotNull()
+    pieces = F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    # Neighbouring hits become one span; then words are looked up by place in one sweep over the spans.
+    rows = rows.join(found, own, "left").withColumn("sizes", F.when(hit, F.transform(pieces, F.length)))
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("starts"))
+    add = lambda a, x: F.struct((a["at"] + x).alias("at"), (a["k"] + 1).alias("k"), F.concat(a["starts"], F.array(a["at"])).alias("starts"))
+    rows = rows.withColumn("found", F.aggregate("sizes", begin, add))
+    flat = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["stop"] - 1)))
+    gone = F.map_from_entries(F.transform(F.array_distinct(flat), lambda i: F.struct(i, F.lit(True))))
+    rows = rows.withColumn("gone", F.when(hit, gone))
+    kept = F.transform("sizes", lambda x, i: F.when(F.col("gone")[i].isNotNull(), F.lit("")).otherwise(F.substring(F.col("text"), F.get("found.starts", i) + 1, x)))
+    tail = F.substring(F.col("text"), F.col("found.at") + 1, F.length("text"))
+    new = F.when(hit, F.concat(F.array_join(kept, ""), tail)).otherwise(F.col("text"))
+    return rows.select("row", new.alias("cut")).select(*(F.col("cut").alias(text) if c == text else F.col(f"row.`{c}`") for c in docs.columns))

@@ -23,12 +23,11 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import bound_batches, checkpointed, map_rows, ship, texts_of
-from millrace.llm.simhash import small
+from millrace.llm.common import bound_batches, checkpointed, map_rows, packed, ship, small, texts_of
 
 LEAST = 0.55
 TRIGGER = re.compile(r"licen[sc]|copyright|spdx|rights reserved|public domain|redistribut|hereby granted|creative commons|\bcc[- ]?(?:by|0)\b", re.I)
@@ -145,23 +144,24 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", least: float
 
     def make():
         def step(batch):
-            found = [matcher.read(t, least) for t in texts_of(batch, text)]
+            found = [matcher.read(t, least) for t in texts_of(batch, "text")]
             return [[x for x, _ in found], [s for _, s in found]]
 
         return step
 
-    kept = [c for c in files.columns if c not in (text, "license", "license_score", "license_from")]
-    own = map_rows(files, make, [("_own", T.StringType()), ("license_score", T.DoubleType())], kept)
-    own = checkpointed(own.withColumn("_dir", F.regexp_extract(F.col(path), r"(?s)^(.*)/[^/]*$", 1)).withColumn("_name", F.regexp_extract(F.col(path), r"([^/]*)$", 1)))
-    best = Window.partitionBy("_dir").orderBy(F.desc("license_score"), "_own")
-    told = own.where(F.col("_own").isNotNull() & F.col("_name").rlike(LICENCE_FILE)).withColumn("_k", F.row_number().over(best)).where("_k = 1")
-    told = checkpointed(told.select(F.col("_dir").alias("_above"), F.col("_own").alias("_given")))
+    rows = packed(files, (text, "license", "license_score", "license_from"), path=F.col(path), text=F.col(text))
+    own = map_rows(rows, make, [("own", T.StringType()), ("score", T.DoubleType())], ["row", "path"])
+    own = checkpointed(own.withColumn("dir", F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1)).withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1)))
+    # The best score, then the first name, by one aggregate: a directory of many licence files isn't sorted in one task.
+    told = own.where(F.col("own").isNotNull() & F.col("dir").isNotNull() & F.col("name").rlike(LICENCE_FILE))
+    told = told.groupBy(F.col("dir").alias("above")).agg(F.min(F.struct((-F.col("score")).alias("s"), "own"))["own"].alias("given"))
+    told = checkpointed(told)
     # Each directory with all that lie above it, itself included; the longest match is the nearest.
-    parts = F.split("_dir", "/")
+    parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    dirs = own.where(F.col("_own").isNull() & F.col("_dir").isNotNull()).select("_dir").distinct()
-    near = dirs.select("_dir", F.explode(above).alias("_above")).join(small(told, 200), "_above").groupBy("_dir").agg(F.max(F.struct(F.length("_above").alias("n"), "_given", "_above")).alias("_near"))
-    near = checkpointed(near.select(F.col("_dir").alias("_d"), "_near._given", "_near._above"))
-    met = own.join(small(near, 300), F.col("_dir") == F.col("_d"), "left")
-    lone = F.col("_own").isNotNull()
-    return met.select(*kept, F.coalesce("_own", "_given").alias("license"), "license_score", F.when(lone, "text").otherwise(F.col("_above")).alias("license_from"))
+    dirs = own.where(F.col("own").isNull() & F.col("dir").isNotNull()).select("dir").distinct()
+    near = dirs.select("dir", F.explode(above).alias("above")).join(small(told, 200), "above").groupBy("dir").agg(F.max(F.struct(F.length("above").alias("n"), "given", "above")).alias("near"))
+    near = checkpointed(near.select(F.col("dir").alias("d"), "near.given", "near.above"))
+    met = own.join(small(near, 300), (F.col("dir") == F.col("d")) & F.col("own").isNull(), "left")
+    told_by = F.when(F.col("own").isNotNull(), "text").otherwise(F.col("above"))
+    return met.select("row.*", F.coalesce("own", "given").alias("license"), F.col("score").alias("license_score"), told_by.alias("license_from"))

@@ -5,12 +5,17 @@ hashed. For each host the documents that have a line are counted. A line in more
 than ``max(floor, share * documents of the host)`` of them is boilerplate and is
 removed; a document that keeps less than ``least`` of its words is depleted.
 
-Documents are counted by a sketch, their longest word (the greatest of several):
-copies of a text, and nearly all near copies, count once, so a text isn't taken
-for boilerplate because it was copied. A host's boilerplate lines travel as one
-array in a broadcast while the measured size of all arrays allows it, else in a
-shuffled join that adaptive execution can split; a host can't have more than
-``lines per document / share`` of them. Only DataFrame functions run.
+Copies and near copies of a text must count once, or a text would be taken for
+boilerplate because it was copied. So documents are told apart by the words at
+``RANKS`` in the order of their distinct words, the longest first: an edit shifts the
+ranks, yet few values arise among near copies, whereas documents that share no more
+than boilerplate differ at one rank or another. At each rank the distinct values are
+counted; the largest count is taken, for a line and for its host alike.
+
+Plain counts, which can't be smaller, come first and leave few lines. A host's
+boilerplate lines travel as one array in a broadcast while the measured size of all
+arrays allows it, else in a shuffled join that adaptive execution can split; a host
+can't have more than ``lines per document / share`` of them. Only DataFrame functions run.
 
 Edge cases: null and empty texts have no words and fail; a null host is a host of
 its own; rows that repeat are answered once each; an empty table gives none.
@@ -21,11 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, lower_ascii, words_of
+from millrace.llm.common import checkpointed, lower_ascii, packed, stored, words_of
 
 FLOOR, SHARE, LEAST = 10, 0.05, 0.3
 WINDOW = 8
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 500_000
+#: Places in the order of a text's distinct words, the longest first.
+RANKS = (1, 2, 4, 8, 16)
 NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left", "clean_text", "base_failed", "kept")
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\f\r"
@@ -40,36 +47,48 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.translate(x, BLANK, "")) > 0)
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", floor: int = FLOOR, share: float = SHARE) -> DataFrame:
+def _sketches(text: Column) -> Column:
+    """Hashes of the words at ``RANKS``, of the shortest word where there are fewer; of "" where there is none."""
+    order = F.sort_array(F.transform(F.array_distinct(words_of(lower_ascii(text))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False)
+    at = lambda k: F.get(order, F.least(F.lit(k), F.size(order)) - 1)["w"]
+    return F.array(*[F.xxhash64(F.coalesce(at(k), F.lit(""))) for k in RANKS])
+
+
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", floor: int = FLOOR, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(host, hashes): the hashes of each host's lines that too many of its documents share."""
-    words = words_of(F.col(text))
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    own = docs.select(F.col(host).alias("host"), F.xxhash64(F.coalesce(longest["w"], F.lit(""))).alias("sketch"), F.array_distinct(F.transform(_lines(F.col(text)), lambda x: F.xxhash64(normalised(x)))).alias("lines"))
+    lines = F.array_distinct(F.transform(_lines(F.col(text)), lambda x: F.xxhash64(normalised(x))))
+    own = stored(docs.select(F.col(host).alias("host"), _sketches(F.col(text)).alias("sketches"), lines.alias("lines")), "lines")
+    many = own.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > floor)
+    many = checkpointed(many.select(F.col("host").alias("of"), F.col("line").alias("shared")))
+    many = F.broadcast(many) if many.count() <= broadcast_rows else many
+    met = own.select("host", "sketches", F.explode("lines").alias("line")).join(many, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("shared")))
     # A null line stands for the document itself; it counts the host's documents.
-    rows = own.select("host", "sketch", F.explode_outer(F.concat(F.array(F.lit(None).cast("long")), "lines")).alias("line")).distinct()
-    counts = checkpointed(rows.groupBy("host", "line").agg(F.count("*").alias("n")).where((F.col("n") > floor) | F.col("line").isNull()))
+    rows = met.select("host", "sketches", "line").unionByName(own.select("host", "sketches", F.lit(None).cast("long").alias("line")))
+    rows = rows.select("host", "line", F.posexplode("sketches").alias("rank", "sketch")).distinct()
+    counts = rows.groupBy("host", "line", "rank").agg(F.count("*").alias("n")).groupBy("host", "line").agg(F.max("n").alias("n"))
+    counts = checkpointed(counts.where((F.col("n") > floor) | F.col("line").isNull()))
     total = counts.where(F.col("line").isNull()).select(F.col("host").alias("of"), F.col("n").alias("docs"))
     over = counts.where(F.col("line").isNotNull()).join(total, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > share * F.col("docs"))
-    return over.groupBy("host").agg(F.array_sort(F.collect_list("line")).alias("hashes"))
+    return over.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("hashes"))
 
 
-def _statistics(docs: DataFrame, text: str) -> DataFrame:
-    """The columns of ``docs`` and _words, _lines and the statistics' columns."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    w = docs.withColumn("_words", words_of(F.col(text))).withColumn("_lines", _lines(F.col(text)))
-    last = F.size("_words") - WINDOW + 1
+def _statistics(rows: DataFrame) -> DataFrame:
+    """The columns of ``rows`` (with a column text), words, lines and the statistics' columns."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    w = rows.withColumn("words", words_of(F.col("text"))).withColumn("lines", _lines(F.col("text")))
+    last = F.size("words") - WINDOW + 1
     starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    w = w.withColumn("_hashes", F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, F.lit(WINDOW)))))
-    w = w.withColumn("_sorted", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda x, k: F.coalesce(F.get("_sorted", k)["h"] == x["h"], F.lit(False))
-    w = w.withColumn("_found", F.array_sort(F.transform(F.filter("_sorted", lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])))
+    w = w.withColumn("hashes", F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, F.lit(WINDOW)))))
+    w = w.withColumn("sorted", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = lambda x, k: F.coalesce(F.get("sorted", k)["h"] == x["h"], F.lit(False))
+    w = w.withColumn("found", F.sort_array(F.transform(F.filter("sorted", lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
-    repeat = F.aggregate("_found", zero, lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(i, a["to"])).alias("n"), (i + WINDOW).alias("to")), lambda a: a["n"])
+    repeat = F.aggregate("found", zero, lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(i, a["to"])).alias("n"), (i + WINDOW).alias("to")), lambda a: a["n"])
     return w.withColumns({
-        "n_words": F.size("_words").cast("long"),
+        "n_words": F.size("words").cast("long"),
         "word_chars": F.length(F.translate(t, BLANK, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         "n_repeat_words": F.coalesce(repeat, F.lit(0)).cast("long"),
     })
 
@@ -79,20 +98,20 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", floor: int
 
     A column of ``docs`` with a new column's name is replaced.
     """
-    flags = checkpointed(boilerplate(docs, host, text, floor, share)).select(F.col("host").alias("_host"), F.col("hashes").alias("_flags"))
-    size = flags.agg(F.coalesce(F.sum(8 * F.size("_flags") + 64), F.lit(0))).first()[0]
+    flags = checkpointed(boilerplate(docs, host, text, floor, share)).select(F.col("host").alias("of"), F.col("hashes").alias("flags"))
+    size = flags.agg(F.coalesce(F.sum(8 * F.size("flags") + 64), F.lit(0))).first()[0]
     flags = F.broadcast(flags) if size <= broadcast_bytes else flags
-    w = _statistics(docs.join(flags, F.col(host).eqNullSafe(F.col("_host")), "left"), text)
-    flagged = lambda x: F.array_contains("_flags", F.xxhash64(normalised(x)))
+    rows = packed(docs, NEW, text=F.col(text), host=F.col(host))
+    w = _statistics(rows.join(flags, F.col("host").eqNullSafe(F.col("of")), "left"))
+    flagged = lambda x: F.array_contains("flags", F.xxhash64(normalised(x)))
     kept_line = lambda x: (F.length(F.translate(x, BLANK, "")) == 0) | ~flagged(x)
-    w = w.withColumn("_gone", F.when(F.col("_flags").isNotNull(), F.filter("_lines", flagged)))
-    gone = F.aggregate("_gone", F.lit(0), lambda a, x: a + F.size(words_of(x)))
+    w = w.withColumn("gone", F.when(F.col("flags").isNotNull(), F.filter("lines", flagged)))
+    gone = F.aggregate("gone", F.lit(0), lambda a, x: a + F.size(words_of(x)))
     w = w.withColumn("n_left", F.col("n_words") - F.coalesce(gone, F.lit(0)))
-    clean = F.when(F.size("_gone") > 0, F.array_join(F.filter(F.split(F.col(text), "\n"), kept_line), "\n")).otherwise(F.col(text))
+    clean = F.when(F.size("gone") > 0, F.array_join(F.filter(F.split(F.col("text"), "\n"), kept_line), "\n")).otherwise(F.col("text"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     w = w.withColumn("clean_text", clean).withColumn("base_failed", failed)
     w = w.withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= least * F.col("n_words")))
     # One generated row: a filter on the verdict can't move below it, where it would copy
     # the expressions above into the lambdas and evaluate them for every word.
-    kept = [c for c in docs.columns if c not in NEW]
-    return w.select(*kept, F.explode_outer(F.array(F.struct(*NEW))).alias("_new")).select(*kept, "_new.*")
+    return w.select("row", F.explode_outer(F.array(F.struct(*NEW))).alias("new")).select("row.*", "new.*")

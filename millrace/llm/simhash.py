@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import checkpointed, map_rows, texts_of
+from millrace.llm.common import checkpointed, map_rows, packed, small, texts_of
 
 SEED = 42
 #: Shingle hashes whose bits are unpacked at once.
@@ -144,11 +144,6 @@ def shingles_of(text: str, shingle: int) -> list[int]:
     return [h - (1 << 64) if h >> 63 else h for h in own]
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
-    """Broadcast a materialised table if its measured size allows, else leave the join to shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
-
-
 def table_links(nodes: DataFrame) -> DataFrame:
     """Candidate edges (a, b) among ``nodes(node, s0, s1)``: 2 bits at most in one of four 32-bit tables.
 
@@ -210,5 +205,5 @@ def keep_first(docs: DataFrame, marked: DataFrame, doc_id: str = "doc_id") -> Da
     Rows without an id stay, as nothing tells them apart; rows that repeat an id stay
     or go together.
     """
-    gone = checkpointed(marked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small(gone, 16), F.col(doc_id) == F.col("_gone"), "left_anti")
+    gone = checkpointed(marked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct())
+    return packed(docs, id=F.col(doc_id)).join(small(gone, 16), F.col("id") == F.col("gone"), "left_anti").select("row.*")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, lower_ascii
+from millrace.llm.common import checkpointed, lower_ascii, packed
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Rules travel inside the plan; more belong in a table of their own.
@@ -53,32 +53,31 @@ def _shape(segment: Column) -> Column:
 
 
 def templates(urls: DataFrame, depth: int = DEPTH, branching: int = BRANCHING) -> DataFrame:
-    """Add ``_parent`` and ``_template`` to rows with ``host`` and ``path``.
+    """Add parent and template to rows with host and path (and no column seg, child, wh or wt).
 
     Wide nodes are found one level at a time, as a wildcard above changes the nodes below.
     """
     segments = F.transform(F.filter(F.split(F.col("path"), "/"), lambda s: s != ""), _shape)
-    rows = urls.withColumn("_seg", segments).withColumn("_parent", F.lit("")).withColumn("_template", F.lit(""))
+    rows = urls.withColumn("seg", segments).withColumn("parent", F.lit("")).withColumn("template", F.lit(""))
     for level in range(depth):
-        child = F.coalesce(F.get("_seg", F.lit(level)), F.lit(""))
-        at = rows.withColumn("_child", child)
-        nodes = at.where("_child != ''").select("host", "_template", "_child").distinct()
-        wide = nodes.groupBy("host", "_template").agg(F.count("*").alias("n")).where(F.col("n") > branching)
-        wide = checkpointed(wide.select(F.col("host").alias("_h"), F.col("_template").alias("_t")))
+        at = rows.withColumn("child", F.coalesce(F.get("seg", F.lit(level)), F.lit("")))
+        nodes = at.where("child != ''").select("host", "template", "child").distinct()
+        wide = nodes.groupBy("host", "template").agg(F.count("*").alias("n")).where(F.col("n") > branching)
+        wide = checkpointed(wide.select(F.col("host").alias("wh"), F.col("template").alias("wt")))
         if wide.count() <= BROADCAST_ROWS:
             wide = F.broadcast(wide)
-        met = at.join(wide, (F.col("host") == F.col("_h")) & (F.col("_template") == F.col("_t")), "left")
-        step = F.when(F.col("_child") == "", "").when(F.col("_h").isNotNull(), "/<*>").otherwise(F.concat(F.lit("/"), F.col("_child")))
-        rows = met.withColumn("_parent", F.when(F.col("_child") == "", F.col("_parent")).otherwise(F.col("_template"))).withColumn("_template", F.concat("_template", step)).drop("_h", "_t", "_child")
-    return rows.drop("_seg")
+        met = at.join(wide, (F.col("host") == F.col("wh")) & (F.col("template") == F.col("wt")), "left")
+        step = F.when(F.col("child") == "", "").when(F.col("wh").isNotNull(), "/<*>").otherwise(F.concat(F.lit("/"), F.col("child")))
+        rows = met.withColumn("parent", F.when(F.col("child") == "", F.col("parent")).otherwise(F.col("template"))).withColumn("template", F.concat("template", step)).drop("wh", "wt", "child")
+    return rows.drop("seg")
 
 
 def rejected(labelled: DataFrame, weight: float = WEIGHT, reject: float = REJECT, z: float = Z) -> DataFrame:
-    """(host, _template) to reject, from rows (host, _parent, _template, bad)."""
-    nodes = checkpointed(labelled.groupBy("host", "_parent", "_template").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")))
-    total = nodes.agg((F.coalesce(F.sum("bad"), F.lit(0)) / F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(1))).alias("prior"))
-    families = nodes.groupBy(F.col("host").alias("fh"), F.col("_parent").alias("fp")).agg(F.sum("bad").alias("fbad"), F.sum("n").alias("fn"))
-    met = nodes.join(families, (F.col("host") == F.col("fh")) & (F.col("_parent") == F.col("fp"))).join(F.broadcast(total))
+    """(host, template) to reject, from rows (host, parent, template, bad)."""
+    nodes = checkpointed(labelled.groupBy("host", "parent", "template").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")))
+    total = nodes.agg((F.coalesce(F.sum("bad"), F.lit(0)) / F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(1))).alias("prior"))  # one row
+    families = nodes.groupBy(F.col("host").alias("fh"), F.col("parent").alias("fp")).agg(F.sum("bad").alias("fbad"), F.sum("n").alias("fn"))
+    met = nodes.join(families, (F.col("host") == F.col("fh")) & (F.col("parent") == F.col("fp"))).join(F.broadcast(total))
     pooled = F.col("fbad") / F.col("fn")
     rest = F.col("fn") - F.col("n")
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n") + 1 / F.greatest(rest, F.lit(1))))
@@ -86,19 +85,19 @@ def rejected(labelled: DataFrame, weight: float = WEIGHT, reject: float = REJECT
     alike = (rest > 0) & (gap <= z * error)
     bad, n = F.when(alike, F.col("fbad")).otherwise(F.col("bad")), F.when(alike, F.col("fn")).otherwise(F.col("n"))
     share = (bad + weight * F.col("prior")) / (n + weight)
-    return met.where(share >= reject).select("host", "_template")
+    return met.where(share >= reject).select("host", "template")
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES, depth: int = DEPTH, branching: int = BRANCHING, weight: float = WEIGHT, reject: float = REJECT) -> DataFrame:
-    """Add host, path, rule and verdict; the rules' own verdicts are the labels of the tree."""
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    own = pages.withColumn("_url", F.coalesce(F.col(url), F.lit(""))).select(*kept, host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
+    """Add host, path, rule and verdict, in place of columns with these names; the rules' own verdicts are the labels of the tree."""
+    own = packed(pages, ("host", "path", "rule", "verdict"), url=F.coalesce(F.col(url), F.lit("")))
+    own = own.select("row", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, told = rule_for(F.col("host"), F.col("path"), rules)
-    rows = templates(own.withColumn("rule", rule).withColumn("_told", told), depth, branching)
-    labelled = rows.where(F.col("_told").isNotNull()).select("host", "_parent", "_template", (F.col("_told") == "block").cast("long").alias("bad"))
-    gone = checkpointed(rejected(labelled, weight, reject)).select(F.col("host").alias("_h"), F.col("_template").alias("_t"))
+    rows = templates(own.withColumn("rule", rule).withColumn("told", told), depth, branching)
+    labelled = rows.where(F.col("told").isNotNull()).select("host", "parent", "template", (F.col("told") == "block").cast("long").alias("bad"))
+    gone = checkpointed(rejected(labelled, weight, reject)).select(F.col("host").alias("gh"), F.col("template").alias("gt"))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    met = rows.join(gone, (F.col("host") == F.col("_h")) & (F.col("_template") == F.col("_t")), "left")
-    own_verdict = F.when(F.col("_h").isNotNull(), "block").otherwise("allow")
-    return met.select(*kept, "host", "path", "rule", F.coalesce("_told", own_verdict).alias("verdict"))
+    met = rows.join(gone, (F.col("host") == F.col("gh")) & (F.col("template") == F.col("gt")), "left")
+    own_verdict = F.when(F.col("gh").isNotNull(), "block").otherwise("allow")
+    return met.select("row.*", "host", "path", "rule", F.coalesce("told", own_verdict).alias("verdict"))
