@@ -10,13 +10,15 @@ contexts whatever the corpus, and their table is broadcast. All else is sharded.
 
 1. Blocks of documents are tokenised and their distinct training tokens counted; the
    counts meet in one shuffle (word hash, count).
-2. Blocks are tokenised again. For every shard a block sends its distinct pairs
-   (word hash, context), their training counts, and where its documents use them.
-   Words frequent enough to be contexts are dealt by word and context, the others by
-   word, so a very common word doesn't fill one shard.
+2. Blocks are tokenised again. To every shard a block sends its distinct pairs (word
+   hash, context) and their training counts, as one row. Words frequent enough to be
+   contexts are dealt by word and context, the others by word, so a very common word
+   doesn't fill one shard. One more row says which documents use which pairs how often.
 3. A shard adds the counts of all blocks, builds its trie - level one the words, level
    two the contexts below each word, with pointers between - and answers the blocks'
-   pairs from the memory-mapped levels. Only sums of each document leave the shard.
+   pairs from the memory-mapped levels: a row of quantised codes for each block.
+4. A block's answers meet its uses, and its documents' sums are taken. So what moves
+   grows with the distinct pairs of blocks and with the text, not with the shards.
 
 A trie's monotone sequences (hashes, pointers, contexts offset by their word's place)
 are Elias-Fano coded; smoothed log-probabilities are quantised to 16 bits between the
@@ -31,6 +33,7 @@ Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import zlib
@@ -38,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -46,11 +50,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import bound_batches, checkpointed, ship, texts_of
 
 CONTEXTS, MU, ALPHA, SEED = 1 << 16, 300.0, 0.1, 42
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS, BLOCK_DOCS = 8 << 20, 50_000
 END = xxhash.xxh64_intdigest(b"", SEED)  # no word is empty
-LEVELS = (1 << 16) - 1
-OUT = ["block", "doc", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-PARTS = ("words", "contexts", "counts", "pair", "doc", "times")
+#: Codes of the quantised probabilities run from 0 to LEVELS; LACKING marks a pair that training lacks.
+LEVELS, LACKING = (1 << 16) - 2, (1 << 16) - 1
 
 
 class EliasFano:
@@ -173,15 +176,15 @@ class Trie:
         np.rint((logs - self.least) / self.step).astype("<u2").tofile(at)
         self.logs = np.memmap(at, dtype="<u2", mode="r", shape=(len(logs),)) if len(logs) else np.zeros(0, "<u2")
 
-    def lookup(self, words: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each pair's word's place and whether it is known, its log10 probability and whether the trie has it."""
+    def lookup(self, words: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each pair's word's place and whether it is known, and the pair's code, ``LACKING`` where the trie lacks it."""
         place, known = self.words.successor(words)
         place = np.where(known, place, 0)
         at, found = self.pairs.successor(place.astype(np.uint64) * np.uint64(2 * CONTEXTS) + contexts.astype(np.uint64))
         found &= known
-        logs = np.zeros(len(words))
-        logs[found] = self.least + self.step * self.logs[at[found]].astype(np.float64)
-        return place, known, logs, found
+        codes = np.full(len(words), LACKING, dtype=np.uint16)
+        codes[found] = self.logs[at[found]]
+        return place, known, codes
 
     def children(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The range of pairs below each word."""
@@ -193,7 +196,7 @@ def held(doc_ids: list) -> np.ndarray:
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """(doc ids, words of each document) of about ``BLOCK_CHARS`` characters at a time."""
+    """(doc ids, words of each document) of about ``BLOCK_CHARS`` bytes, and ``BLOCK_DOCS`` documents at most."""
     ids, rows, size = [], [], 0
     for batch in batches:
         for i, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text"), strict=True):
@@ -201,7 +204,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[
             ids.append(i)
             rows.append(raw.split())
             size += len(raw)
-            if size >= BLOCK_CHARS:
+            if size >= BLOCK_CHARS or len(ids) >= BLOCK_DOCS:
                 yield ids, rows
                 ids, rows, size = [], [], 0
     if ids:
@@ -230,75 +233,86 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def packed(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+def planes(a: np.ndarray) -> bytes:
+    """Integers as compressed byte planes: the high bytes of small numbers cost next to nothing."""
+    size = a.dtype.itemsize
+    return zlib.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, size).T).tobytes(), 1)
+
+
+def unplanes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def bundle(*arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    for a in arrays:
+        np.save(out, a)
+    return zlib.compress(out.getvalue(), 1)
+
+
+def unbundle(data: bytes, n: int) -> list[np.ndarray]:
+    source = io.BytesIO(zlib.decompress(data))
+    return [np.load(source) for _ in range(n)]
+
+
+ASKED = {"shard": pa.int32(), "block": pa.string(), "start": pa.int64(), "words": pa.binary(), "contexts": pa.binary(), "counts": pa.binary()}
+ANSWERED = {"block": pa.string(), "start": pa.int64(), "codes": pa.binary(), "lacking": pa.binary(), "counts": pa.binary(), "least": pa.float64(), "step": pa.float64()}
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
 def requests(docs: DataFrame, frequent: np.ndarray, shards: int) -> DataFrame:
-    """Rows (shard, block, body): what a block has for a shard."""
+    """Rows (shard, block, start, words, contexts, counts): the pairs that a block asks of a shard.
+
+    A block numbers its distinct pairs by shard; ``start`` is a row's first number. The
+    row with start -1 has the block's uses (document and pair, times) and its documents.
+    """
 
     def run(batches):
         part = TaskContext.get().partitionId()
         for n, (ids, rows) in enumerate(blocks(batches)):
+            block = f"{part}-{n}"
             hashes, at, doc = numbered(rows)
-            where = np.searchsorted(frequent, hashes)
-            where = np.minimum(where, max(len(frequent) - 1, 0))
-            common = frequent[where] == hashes if len(frequent) else np.zeros(len(hashes), bool)
-            context_of = np.where(common, where + 1, 0)  # 0: rarer words
+            common = np.zeros(len(hashes), bool)
+            context_of = np.zeros(len(hashes), np.int64)  # 0: rarer words
+            if len(frequent):
+                where = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+                common = frequent[where] == hashes
+                context_of = np.where(common, where + 1, 0)
             first = np.r_[True, doc[1:] != doc[:-1]]
             before = np.where(first, CONTEXTS + 1, context_of[np.r_[0, at[:-1]]])
-            key = at * (2 * CONTEXTS) + before
-            pairs, place = np.unique(key, return_inverse=True)
-            words, contexts = hashes[pairs // (2 * CONTEXTS)], (pairs % (2 * CONTEXTS)).astype(np.uint32)
-            out = held(ids)
-            counts = np.bincount(place, weights=~out[doc], minlength=len(pairs)).astype(np.uint32)
-            mixed = words ^ np.where(common[pairs // (2 * CONTEXTS)], (contexts.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+            pairs, place = np.unique(at * (2 * CONTEXTS) + before, return_inverse=True)
+            word, contexts = pairs // (2 * CONTEXTS), (pairs % (2 * CONTEXTS)).astype(np.uint32)
+            counts = np.bincount(place, weights=~held(ids)[doc], minlength=len(pairs)).astype(np.uint32)
+            mixed = hashes[word] ^ np.where(common[word], (contexts.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
             shard = ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(shards)
-            # Uses: one (document, pair) row with its number, by shard.
-            uses, times = np.unique(place * len(ids) + doc, return_counts=True)
-            use_pair, use_doc = uses // len(ids), uses % len(ids)
             by = np.argsort(shard, kind="stable")
-            rank = np.empty(len(by), np.int64)
-            bounds = np.searchsorted(shard[by], np.arange(shards + 1).astype(np.uint64))
-            rank[by] = np.arange(len(by)) - np.repeat(bounds[:-1], np.diff(bounds))
-            use_shard = shard[use_pair]
-            use_by = np.argsort(use_shard, kind="stable")
-            use_bounds = np.searchsorted(use_shard[use_by], np.arange(shards + 1).astype(np.uint64))
-            lists = {"shard": [], "block": [], "words": [], "contexts": [], "counts": [], "pair": [], "doc": [], "times": []}
-            for s in range(shards):
-                own = by[bounds[s] : bounds[s + 1]]
-                if not len(own):
-                    continue
-                use = use_by[use_bounds[s] : use_bounds[s + 1]]
-                lists["shard"].append(s)
-                lists["block"].append(f"{part}-{n}")
-                w = words[own]
-                starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-                lists["words"].append(w[starts].tobytes())
-                lists["contexts"].append(packed(np.r_[np.uint32(len(starts)), np.diff(np.r_[starts, len(w)]).astype(np.uint32), contexts[own]]))
-                lists["counts"].append(packed(counts[own]))
-                r = rank[use_pair[use]]
-                lists["pair"].append(packed(np.diff(r, prepend=0).astype(np.int32)))
-                lists["doc"].append(packed(use_doc[use].astype(np.uint16) if len(ids) < 65536 else use_doc[use].astype(np.uint32)))
-                lists["times"].append(packed(np.minimum(times[use], 255).astype(np.uint8) if times[use].max() < 255 else times[use].astype(np.uint32)))
-            # One row tells a shard about the documents themselves.
-            lists["shard"].append(zlib.crc32(f"{part}-{n}".encode()) % shards)
-            lists["block"].append(f"{part}-{n}")
-            about = [packed(np.array([0 if i is None else i for i in ids], np.int64)), packed(np.array([i is None for i in ids])), packed(np.bincount(doc, minlength=len(ids)))]
-            for c, x in zip(PARTS, (b"", *about, b"", b""), strict=True):
-                lists[c].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(lists["shard"], pa.int32()), pa.array(lists["block"]), *(pa.array(lists[c], pa.binary()) for c in PARTS)], list(lists))
-
-    return docs.mapInArrow(run, "shard int, block string, words binary, contexts binary, counts binary, pair binary, doc binary, times binary")
-
-
-def _unpack(data: bytes, n: int | None, kinds: dict[int, str] | None, kind: str = "<u4") -> np.ndarray:
-    raw = zlib.decompress(data)
-    return np.frombuffer(raw, dtype=kinds[len(raw) // n] if kinds and n else kind)
-
-
-def partial_scores(asked: DataFrame, frequent: np.ndarray, counts: np.ndarray, ends: tuple[int, int], total: int, distinct: int, mu: float, alpha: float) -> DataFrame:
-    """``OUT`` of each document in each shard; ids, hold-out and lengths in one row of a document alone.
+            number = np.empty(len(by), np.int64)
+            number[by] = np.arange(len(by))
+            owners, starts = np.unique(shard[by], return_index=True)
+            out = []
+            for s, a, b in zip(owners.tolist(), starts.tolist(), [*starts[1:].tolist(), len(by)], strict=True):
+                own = by[a:b]
+                w = word[own]
+                new = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+                sizes = np.diff(np.r_[new, len(w)]).astype(np.uint32)
+                out.append((s, block, a, hashes[w[new]].tobytes(), planes(np.r_[np.uint32(len(new)), sizes, contexts[own]]), planes(counts[own])))
+                if len(out) >= 256:
+                    yield _batch(out, ASKED)
+                    out = []
+            uses, times = np.unique(doc * len(pairs) + number[place], return_counts=True)
+            about = bundle(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids]), np.bincount(doc, minlength=len(ids)))
+            out.append((zlib.crc32(block.encode()) % shards, block, -1, planes(np.diff(uses, prepend=0)), about, planes(times.astype(np.uint32))))
+            yield _batch(out, ASKED)
+
+    return docs.mapInArrow(run, "shard int, block string, start long, words binary, contexts binary, counts binary")
+
+
+def answers(asked: DataFrame, frequent: np.ndarray, counts: np.ndarray, ends: tuple[int, int], total: int, distinct: int, mu: float, alpha: float) -> DataFrame:
+    """Rows (block, start, codes, lacking, counts, least, step): each request's answer; rows of uses pass through.
 
     frequent, counts: hashes and training counts of the contexts, in order; ends: training
     documents (contexts of a text's first token) and the tokens of all rarer contexts.
@@ -308,10 +322,9 @@ def partial_scores(asked: DataFrame, frequent: np.ndarray, counts: np.ndarray, e
     floor = total + alpha * (distinct + 1)
 
     def pairs_of(words: bytes, contexts: bytes):
-        w = np.frombuffer(words, dtype=np.uint64)
-        raw = _unpack(contexts, None, None)
+        raw = unplanes(contexts, "<u4")
         n = int(raw[0])
-        return np.repeat(w, raw[1 : n + 1]), raw[n + 1 :]
+        return np.repeat(np.frombuffer(words, dtype=np.uint64), raw[1 : n + 1]), raw[n + 1 :]
 
     def merge(parts):
         w, c, k = (np.concatenate([p[j] for p in parts]) for j in range(3))
@@ -323,21 +336,25 @@ def partial_scores(asked: DataFrame, frequent: np.ndarray, counts: np.ndarray, e
     def run(batches):
         with tempfile.TemporaryDirectory(prefix="millrace-lm-") as folder:
             spool = pa.OSFile(os.path.join(folder, "asked"), "wb")
-            writer, parts, held_rows = None, [], 0
+            writer, parts, waiting = None, [], 0
             for batch in batches:
+                through = pa.compute.less(batch.column("start"), 0)
+                if through.true_count:
+                    own = batch.filter(through)
+                    none = pa.nulls(own.num_rows, pa.float64())
+                    yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("block", "start", "words", "contexts", "counts")), none, none], list(ANSWERED))
+                batch = batch.filter(pa.compute.invert(through))
                 writer = writer or pa.ipc.new_stream(spool, batch.schema)
                 writer.write_batch(batch)
                 for words, contexts, number in zip(batch.column("words"), batch.column("contexts"), batch.column("counts"), strict=True):
-                    if not len(words.as_py()):
-                        continue
                     w, c = pairs_of(words.as_py(), contexts.as_py())
-                    k = _unpack(number.as_py(), None, None).astype(np.int64)
+                    k = unplanes(number.as_py(), "<u4").astype(np.int64)
                     some = k > 0
                     parts.append((w[some], c[some], k[some]))
-                    held_rows += int(some.sum())
-                if held_rows > 4_000_000 and len(parts) > 64:
+                    waiting += int(some.sum())
+                if waiting > 4_000_000 and len(parts) > 64:
                     parts = [merge(parts)]
-                    held_rows = len(parts[0][0]) // 2
+                    waiting = len(parts[0][0]) // 2
             if writer is None:
                 return
             writer.close()
@@ -356,35 +373,55 @@ def partial_scores(asked: DataFrame, frequent: np.ndarray, counts: np.ndarray, e
             del w, k, logs, word_of, parts
             source = pa.memory_map(os.path.join(folder, "asked"))
             for batch in pa.ipc.open_stream(source):
+                out = []
                 for row in batch.to_pylist():
-                    if not row["words"]:
-                        ids, null, n = (_unpack(row[x], None, None, t) for x, t in (("contexts", "<i8"), ("counts", "?"), ("pair", "<i8")))
-                        zero = np.zeros(len(ids))
-                        own_ids = [None if x else int(i) for i, x in zip(ids, null, strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(ids)), pa.array(range(len(ids)), pa.int32()), pa.array(own_ids, pa.int64()), pa.array(held(own_ids)), pa.array(n), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], OUT)
-                        continue
                     w, c = pairs_of(row["words"], row["contexts"])
-                    place, known, found_log, found = trie.lookup(w, c)
+                    place, known, codes = trie.lookup(w, c)
                     number = np.where(known, sums[place] if len(sums) else 0, 0)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, w), len(frequent) - 1)
-                        common = frequent[at] == w
-                        known |= common
-                        number = np.where(common, counts[at], number)
-                    p = (number + alpha) / floor
-                    score = np.where(found, found_log, np.log10(mu * p / (size[c] + mu)))
-                    base = np.log10(p)
-                    pair = np.cumsum(_unpack(row["pair"], None, None, "<i4"))
-                    doc = _unpack(row["doc"], len(pair), {2: "<u2", 4: "<u4"}).astype(np.int64)
-                    times = _unpack(row["times"], len(pair), {1: "u1", 4: "<u4"}).astype(np.float64)
-                    docs, doc = np.unique(doc, return_inverse=True)
-                    out = [np.bincount(doc, weights=times * x[pair], minlength=len(docs)) for x in (known, base, score)]
-                    none = [pa.nulls(len(docs), t) for t in (pa.int64(), pa.bool_(), pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(docs)), pa.array(docs, pa.int32()), *none, pa.array(out[0].astype(np.int64)), pa.array(out[1]), pa.array(out[2])], OUT)
+                        number = np.where(frequent[at] == w, counts[at], number)
+                    gone = codes == LACKING
+                    lacking = np.log10(mu * (number[gone] + alpha) / floor / (size[c[gone]] + mu))
+                    out.append((row["block"], row["start"], planes(codes), lacking.astype("<f4").tobytes(), planes(number.astype(np.int64)), trie.least, trie.step))
+                if out:
+                    yield _batch(out, ANSWERED)
             source.close()
             del trie
 
-    return asked.mapInArrow(run, "block string, doc int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    return asked.mapInArrow(run, "block string, start long, codes binary, lacking binary, counts binary, least double, step double")
+
+
+def sums_of(found: DataFrame, total: int, distinct: int, alpha: float) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, base_score, score) of every document, from its block's answers."""
+    floor = total + alpha * (distinct + 1)
+    kinds = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        logs, counts, uses = [], [], None
+        rows = sorted(((x, k) for k, x in enumerate(table.column("start").to_pylist())))
+        for start, k in rows:
+            codes, lacking, number = (table.column(c)[k].as_py() for c in ("codes", "lacking", "counts"))
+            if start < 0:
+                if uses is not None:
+                    raise ValueError("a block's uses came twice")
+                uses, times, (ids, null, lengths) = np.cumsum(unplanes(codes, "<i8")), unplanes(number, "<u4").astype(np.float64), unbundle(lacking, 3)
+                continue
+            own = unplanes(codes, "<u2")
+            if start != sum(map(len, logs)):
+                raise ValueError("a block lacks answers")
+            value = table.column("least")[k].as_py() + table.column("step")[k].as_py() * own.astype(np.float64)
+            value[own == LACKING] = np.frombuffer(lacking, "<f4")
+            logs.append(value)
+            counts.append(unplanes(number, "<i8"))
+        value, number = np.concatenate(logs), np.concatenate(counts)
+        doc, pair = uses // len(value), uses % len(value)
+        base = np.log10((number + alpha) / floor)
+        known, first, score = (np.bincount(doc, weights=times * x[pair], minlength=len(ids)) for x in (number > 0, base, value))
+        own_ids = [None if x else int(i) for i, x in zip(ids, null, strict=True)]
+        return pa.table([pa.array(own_ids, pa.int64()), pa.array(held(own_ids)), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(first), pa.array(score)], schema=kinds)
+
+    return found.groupBy("block").applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mu: float = MU, alpha: float = ALPHA, shards: int | None = None) -> DataFrame:
@@ -407,6 +444,5 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mu: float
     number = np.array([top[h] for h in order], dtype=np.int64)
     parts = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = requests(own, frequent, 2 * parts).repartition(parts, "shard")
-    found = partial_scores(asked, frequent, number, (ends, rare), total, distinct, mu, alpha)
-    sums = found.groupBy("block", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    found = sums_of(answers(asked, frequent, number, (ends, rare), total, distinct, mu, alpha), total, distinct, alpha)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
