@@ -33,6 +33,7 @@ SHIFT = np.int64(20)
 #: Distinct words, and their symbols, that a worker remembers between batches.
 CACHE_WORDS = 300_000
 CACHE_IDS = 2_000_000
+PART_CHARS = 1 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -183,6 +184,26 @@ def load(path: str) -> WordBpe:
     return _loaded[path]
 
 
+def encode_parts(coder: WordBpe, texts) -> tuple[np.ndarray, np.ndarray]:
+    """As ``WordBpe.encode``, about ``PART_CHARS`` characters at a time, so that few words are held at once."""
+    flats, sizes, part, chars = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], 0
+
+    def flush() -> None:
+        flat, offsets = coder.encode(part)
+        flats.append(flat)
+        sizes.append(np.diff(offsets))
+
+    for t in texts:
+        part.append(t)
+        chars += len(t)
+        if chars >= PART_CHARS:
+            flush()
+            part, chars = [], 0
+    if part:
+        flush()
+    return np.concatenate(flats), np.r_[0, np.cumsum(np.concatenate(sizes))]
+
+
 def _lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, type=pa.int32()))
 
@@ -192,7 +213,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str =
 
     def make():
         coder = load(vocabulary)
-        return lambda batch: [_lists(*coder.encode(texts_of(batch, text)))]
+        return lambda batch: [_lists(*encode_parts(coder, texts_of(batch, text)))]
 
     return map_rows(docs, make, [(ids, T.ArrayType(T.IntegerType()))])
 
@@ -214,7 +235,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, text: str = "text", ids: st
         coder = load(vocabulary)
 
         def step(batch):
-            flat, offsets = coder.encode(texts_of(batch, text))
+            flat, offsets = encode_parts(coder, texts_of(batch, text))
             return [_lists(flat, offsets), [coder.decode(flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]]
 
         return step
