@@ -23,6 +23,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,12 @@ from millrace.llm.common import checkpointed, map_rows, packed, small, texts_of
 SEED = 42
 #: Shingle hashes whose bits are unpacked at once.
 BLOCK = 1 << 14
+#: Odd factors that mix word hashes into a shingle's.
+MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
+#: One distinct text in SAMPLE tells which shingles are frequent: in OFTEN of them; the HOT most frequent are kept.
+SAMPLE, OFTEN, HOT = 16, 3, 1 << 19
+#: Pairs above which another head is tried before all are compared, heads tried at most, members compared in one piece.
+PAIRS, TURNS, PAIR_BLOCK = 5_000_000, 4, 256
 
 
 def fingerprint_of(text: str, shingle: int) -> int:
@@ -121,80 +128,157 @@ def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def sketch_of(text: str) -> tuple[int, int, int, int]:
-    """A 128-bit SimHash of the distinct words, and a 128-bit hash of their sequence, as signed numbers."""
-    words = _words(text)
-    own = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words), SEED), dtype=">i8")
-    distinct = sorted(set(words))
-    ones = np.zeros(128, dtype=np.int64)
-    for k in range(0, len(distinct), BLOCK):
-        each = b"".join([xxhash.xxh3_128_digest(w, SEED) for w in distinct[k : k + BLOCK]])
-        ones += np.unpackbits(np.frombuffer(each, np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(distinct)).view(">i8")
-    return int(bits[0]), int(bits[1]), int(own[0]), int(own[1])
-
-
-def shingles_of(text: str, shingle: int) -> list[int]:
-    """Distinct hashes of the word shingles; fewer words count as one shingle."""
+def key_of(text: str) -> tuple[int, int]:
+    """A 128-bit hash of the words' sequence, as signed numbers."""
+    own = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(_words(text)), SEED), dtype=">i8")
+    return int(own[0]), int(own[1])
+
+
+def shingles_of(text: str, shingle: int) -> np.ndarray:
+    """Distinct hashes of the word shingles, in order; fewer words count as one shingle."""
     words = _words(text)
     if not words:
-        return []
+        return np.empty(0, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
-    own = {digest(b" ".join(words[k : k + shingle]), SEED) for k in range(max(1, len(words) - shingle + 1))}
-    return [h - (1 << 64) if h >> 63 else h for h in own]
+    each = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+    width = min(shingle, len(words))
+    n, x, power = len(words) - width + 1, np.full(len(words) - width + 1, width, dtype=np.uint64), MIX[0]
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            x += each[k : k + n] * power
+            power = power * MIX[0]
+        for m in MIX[1:]:
+            x = (x ^ (x >> np.uint64(33))) * m
+    return np.unique((x ^ (x >> np.uint64(33))).view(np.int64))
+
+
+def prefix_of(own: np.ndarray, hot: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The shingles of which sets alike share one at least, the rarest first, and how many shingles aren't hot.
+
+    A set alike shares ``similarity`` of these shingles, so it can't miss all of the
+    first n - that + 1 in an order that holds for all sets. Here: by the count in
+    ``hot``, then by value. What is in ``hot`` bears on the cost alone.
+    """
+    held = np.zeros(len(own), dtype=np.int64)
+    if len(hot) and len(own):
+        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+        held = np.where(hot[at] == own, counts[at], 0)
+    first = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
+    return own[np.lexsort((own, held))][:first], int((held == 0).sum())
+
+
+def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
+    ends = np.cumsum([0, *(0 if a is None else len(a) for a in arrays)])
+    flat = np.concatenate([np.empty(0, np.int64), *(a for a in arrays if a is not None)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
 
 
-def table_links(nodes: DataFrame) -> DataFrame:
-    """Candidate edges (a, b) among ``nodes(node, s0, s1)``: 2 bits at most in one of four 32-bit tables.
+def _fits(x: str, y: str, similarity: float):
+    """Whether two sets that first meet at these places of their orders can be alike."""
+    left = lambda r: F.col(f"{r}.n") - F.col(f"{r}.pos")
+    return F.least(left(x), left(y)) >= F.lit(similarity / (1 + similarity)) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - F.lit(1e-6)
 
-    Nodes with one fingerprint in a table form a star, then the distinct fingerprints'
-    balls meet as in ``links``; so no bucket outgrows a ball.
+
+def _stars(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Pairs (a, b) of each shingle's head and its other groups' members.
+
+    The first head is the text with the fewest shingles of its own: of edited copies, their base.
     """
-    cut = lambda c, k: F.shiftrightunsigned(F.col(c), 32 * k).bitwiseAND(F.lit(0xFFFFFFFF))
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), cut(f"s{t // 2}", t % 2).alias("f")) for t in range(4)])
-    rows = nodes.select("node", F.explode(tables).alias("x")).select("node", "x.t", "x.f")
-    heads = checkpointed(rows.groupBy("t", "f").agg(F.min("node").alias("head")))
-    same = rows.join(heads, ["t", "f"]).where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    masks = F.array(*[F.lit(m).cast("long") for m in ball(1, 32)])
-    spread = heads.select("head", "t", "f", F.explode(masks).alias("mask")).select("head", F.expr("shiftleft(cast(t as bigint), 32) | (f ^ mask)").alias("variant"))
-    least = F.min("head").over(Window.partitionBy("variant"))
-    meet = spread.select(least.alias("a"), F.col("head").alias("b")).where("a < b")
-    return same.union(meet).distinct()
-
-
-def shingle_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    order = F.struct("rare", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("rare"), "node")
+    head = F.min(F.struct(order.alias("order"), "node", "label", "n", "pos")).over(Window.partitionBy("h"))
+    met = rows.select(head.alias("x"), F.struct("node", "label", "n", "pos").alias("y")).where(F.col("x.label") != F.col("y.label"))
+    met = met.where(_fits("x", "y", similarity))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _all_pairs(rows: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Pairs (a, b) of all members of different groups; a shingle of over ``block`` members is dealt by pairs of blocks."""
+    size = F.count("*").over(Window.partitionBy("h"))
+    rows = rows.withColumn("g", F.ceil(size / F.lit(block)).cast("long")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    dealt = rows.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "n", "pos")
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("h", "lo", "hi")]
+    met = dealt.alias("x").join(dealt.alias("y"), on).where(F.col("x.node") < F.col("y.node"))
+    met = met.where((F.col("x.label") != F.col("y.label")) & ((F.col("x.own") != F.col("y.own")) | (F.col("x.lo") == F.col("x.hi"))))
+    return met.where(_fits("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def shingle_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", pairs: int = PAIRS, block: int = PAIR_BLOCK) -> DataFrame:
     """(doc_id, component_id): groups linked by a Jaccard similarity of word shingles.
 
-    Candidates meet in one of four tables of a 128-bit SimHash of the words, survive
-    a test of all 128 bits, and are verified on the shingle sets of their whole
-    texts. Texts of the same words are one node. Links are sought along stars: a
-    group's members are compared with its smallest id in each table, not all with all.
+    Exact: texts alike share one of their rarest shingles (``prefix_of``), so all that
+    share one are compared on the shingle sets of their whole texts, but for those
+    that are linked already. Texts of the same words are one node. First each
+    shingle's texts are compared with one head; while over ``pairs`` pairs are open,
+    with another, at most ``TURNS`` times; then all open pairs are.
     """
+    spark = docs.sparkSession
 
-    def sketches():
+    def keys():
         def step(batch):
-            found = [sketch_of(t) for t in texts_of(batch, "text")]
-            return [[x[k] for x in found] for k in range(4)]
+            found, held = [], []
+            for t in texts_of(batch, "text"):
+                key = key_of(t)
+                found.append(key)
+                held.append(shingles_of(t, shingle) if key[1] % SAMPLE == 0 else None)
+            return [[k for k, _ in found], [k for _, k in found], _lists(held)]
 
         return step
 
     def sets():
-        return lambda batch: [[shingles_of(t, shingle) for t in texts_of(batch, "text")]]
+        return lambda batch: [_lists([shingles_of(t, shingle) for t in texts_of(batch, "text")])]
 
+    long, longs = T.LongType(), T.ArrayType(T.LongType())
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    four = [(c, T.LongType()) for c in ("s0", "s1", "k0", "k1")]
-    marked = checkpointed(map_rows(own, sketches, four, ["doc_id"]))
-    nodes = checkpointed(marked.groupBy("k0", "k1", "s0", "s1").agg(F.min("doc_id").alias("node")))
-    bits = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
-    pairs = table_links(nodes).join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
-    pairs = checkpointed(pairs.where(bits("s0") + bits("s1") <= 28).select("a", "b"))
-    asked = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    shingled = map_rows(own.join(small(asked, 16), "doc_id", "left_semi"), sets, [("set", T.ArrayType(T.LongType()))], ["doc_id"])
-    shingled = checkpointed(shingled.dropDuplicates(["doc_id"]))
-    x, y = shingled.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), shingled.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    near = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
-    labels = components(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"))
+    marked = checkpointed(map_rows(own, keys, [("k0", long), ("k1", long), ("held", longs)], ["doc_id"]))
+    nodes = checkpointed(marked.groupBy("k0", "k1").agg(F.min("doc_id").alias("node")))
+    # Frequent shingles by a sample of distinct texts: they only order the shingles.
+    held = marked.where(F.size("held") > 0).groupBy("k0", "k1").agg(F.first("held").alias("held"))
+    often = held.select(F.explode("held").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN)
+    often = sorted((r["h"], r["c"]) for r in often.orderBy(F.desc("c"), "h").limit(HOT).collect())  # bounded
+    hot = spark.sparkContext.broadcast((np.array([h for h, _ in often], np.int64), np.array([c for _, c in often], np.int64)))
+
+    def prefixes():
+        def step(batch):
+            n, rare, first = [], [], []
+            for t in texts_of(batch, "text"):
+                x = shingles_of(t, shingle)
+                p, r = prefix_of(x, *hot.value, similarity)
+                n.append(len(x)), rare.append(r), first.append(p)
+            return [n, rare, _lists(first)]
+
+        return step
+
+    heads = nodes.select(F.col("node").alias("doc_id"))
+    firsts = map_rows(own.join(small(heads, 16), "doc_id", "left_semi"), prefixes, [("n", long), ("rare", long), ("first", longs)], ["doc_id"])
+    rows = firsts.select(F.col("doc_id").alias("node"), F.col("n").cast("int"), F.col("rare").cast("int"), F.posexplode("first").alias("pos", "h"))
+    each = Window.partitionBy("h")
+    rows = checkpointed(rows.withColumn("least", F.min("node").over(each)).withColumn("most", F.max("node").over(each)).where("least < most").drop("least", "most"))
+
+    def alike(met: DataFrame) -> DataFrame:
+        met = checkpointed(met)
+        asked = checkpointed(met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct())
+        found = map_rows(own.join(small(asked, 16), "doc_id", "left_semi"), sets, [("set", longs)], ["doc_id"])
+        found = checkpointed(found.distinct())
+        x, y = found.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), found.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        near = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
+        return checkpointed(met.join(x, "a").join(y, "b").where(near).select("a", "b"))
+
+    edges = labels = None
+    rows = rows.withColumn("label", F.col("node"))
+    for turn in range(TURNS + 1):
+        if labels is not None:
+            rows = rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            rows = rows.withColumn("least", F.min("label").over(each)).withColumn("most", F.max("label").over(each))
+            rows = checkpointed(rows.where("least < most").drop("least", "most"))
+        sizes = rows.groupBy("h", "label").agg(F.count("*").alias("s")).groupBy("h").agg(((F.pow(F.sum("s"), F.lit(2)) - F.sum(F.col("s") * F.col("s"))) / 2).alias("open"))
+        last = turn == TURNS or (turn > 0 and (sizes.agg(F.sum("open")).first()[0] or 0) <= pairs)
+        found = alike(_all_pairs(rows, similarity, block) if last else _stars(rows, similarity, turn))
+        edges = found if edges is None else edges.union(found)
+        labels = components(edges)
+        if last:
+            break
     found = nodes.join(labels, "node", "left").select("k0", "k1", F.coalesce("label", "node").alias("component_id"))
     return marked.join(found, ["k0", "k1"]).select("doc_id", "component_id")
 

@@ -155,6 +155,38 @@ def test_shingle_groups_against_brute_force(spark, small):
     assert kept == {i for i in got if got[i] == i}
 
 
+def brute_groups(texts, least=0.8):
+    """Components of all pairs of ``texts`` (id, text) whose five-word shingles are alike by ``least``."""
+    sets = {}
+    for i, t in texts:
+        w = WORD.findall(t.translate(LOWER))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    return brute_components(list(sets), near), near
+
+
+def edited(words, rng, n):
+    """The words with ``n`` of them, six places apart at least, replaced."""
+    out = list(words)
+    for k in rng.choice(len(words) // 6, n, replace=False):
+        out[6 * k] = f"new{rng.integers(1 << 40)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("cost", [{}, {"pairs": 0, "block": 8}, {"block": 8}])
+def test_copies_of_a_late_base_are_one_group(spark, cost):
+    """Copies are alike to their base alone, whose id isn't the smallest."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(397)]
+    texts = [(k, edited(base, rng, 6)) for k in range(50)] + [(50, " ".join(base))]
+    other = [f"v{k}" for k in range(200)]
+    texts += [(100 + k, " ".join([*other[:150], *(f"u{k}x{j}" for j in range(50))])) for k in range(30)]
+    want, _ = brute_groups(texts)
+    assert sum(i == label for i, label in want.items()) == 31
+    got = {r["doc_id"]: r["component_id"] for r in shingle_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), **cost).collect()}
+    assert got == want
+
+
 def test_keep_first_on_odd_rows(spark):
     docs = odd(spark)
     kept = keep_first(docs, shingle_near_duplicates(docs))
