@@ -130,17 +130,21 @@ def phonetic(tok: DataFrame, term: str) -> DataFrame:
 def known_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id) of texts that hold an item's passage verbatim.
 
-    Candidates share the passage's hash of its first five tokens, so texts aren't
-    compared with all items.
+    Candidates share a hash of five tokens inside the passage, so texts aren't
+    compared with all items. Passages of fewer than seven tokens have no five that
+    are whole for certain; each of these is sought in all texts.
     """
     head = lambda t: F.xxhash64(F.slice(t, 1, 5))
-    keys = items.select("item_id", F.col("text").alias("passage"), F.size(tokens(F.col("text"))).alias("k"), tokens(F.col("text")).alias("t")).where("k >= 7")
+    keys = items.where(F.col("text").isNotNull()).select("item_id", F.col("text").alias("passage"), F.size(tokens(F.col("text"))).alias("k"), tokens(F.col("text")).alias("t"))
+    short = keys.where("k < 7").select("item_id", "passage")
     # The first and last token may be cut at the passage's edges; the ones inside are whole.
-    keys = keys.select("item_id", "passage", head(F.slice("t", 2, 5)).alias("h"))
+    keys = keys.where("k >= 7").select("item_id", "passage", head(F.slice("t", 2, 5)).alias("h"))
     toks = docs.select("doc_id", "text", tokens(F.col("text")).alias("t"))
     spread = toks.withColumn("hs", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - 4)), lambda i: F.xxhash64(F.slice("t", i, 5)))))
     met = spread.select("doc_id", "text", F.explode_outer("hs").alias("h")).join(F.broadcast(bounded(keys)), "h")
-    return met.where(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
+    found = met.where(F.contains("text", "passage")).select("item_id", "doc_id")
+    few = docs.select("doc_id", "text").join(F.broadcast(bounded(short)), F.contains("text", "passage")).select("item_id", "doc_id")
+    return found.union(few).distinct()
 
 
 def rocchio(tok: DataFrame, queries: DataFrame, ranked: DataFrame, feedback: int = 3, terms: int = 10, alpha: float = 1.0, beta: float = 0.75) -> DataFrame:

@@ -56,6 +56,15 @@ def test_matching(tok):
     assert {tuple(r) for r in ranking.snippets(tok, "sat", 1).collect()} == {(1, 3, "cat sat the"), (2, 3, "dog sat")}
 
 
+def test_short_known_items_are_found(spark):
+    """Passages of any length, cut inside a token or without one, as ``contains`` finds them."""
+    texts = {1: "one two three four five six seven eight", 2: "x two three y", 3: "wo thr", 4: "", 5: None, 6: "-- two"}
+    passages = {1: "two three", 2: "wo thr", 3: "--", 4: "one two three four five six", 5: "two three four five six seven eight", 6: "none", 7: "", 8: None}
+    docs, items = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(passages.items()), "item_id long, text string")
+    want = {(i, d) for i, p in passages.items() for d, t in texts.items() if p is not None and t is not None and p in t}
+    assert {tuple(r) for r in ranking.known_items(docs, items).collect()} == want
+
+
 def test_broadcasts_are_checked(spark):
     with pytest.raises(ValueError):
         index.bounded(spark.range(11), 10)
