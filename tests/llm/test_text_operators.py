@@ -187,6 +187,24 @@ def test_copies_of_a_late_base_are_one_group(spark, cost):
     assert got == want
 
 
+def test_appended_cut_and_edited_copies_all_meet(spark):
+    """Each kind apart: every pair of 0.8 or more ends up together."""
+    rng = np.random.default_rng(7)
+    kinds, texts = {}, []
+    for k in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 300)]
+        more = int(rng.integers(15, 72))
+        made = {"base": " ".join(words), "appended": " ".join([*words, *(f"p{x}" for x in rng.integers(0, 3000, more))]), "cut": " ".join(words[: 300 - more * 2 // 3]), "edited": edited(words, rng, 6)}
+        for j, (kind, t) in enumerate(made.items()):
+            kinds[10 * k + j] = kind
+            texts.append((10 * k + j, t))
+    want, near = brute_groups(texts)
+    got = {r["doc_id"]: r["component_id"] for r in shingle_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    recall = {kind: [got[a] == got[b] for a, b in near if kinds[a] == "base" and kinds[b] == kind] for kind in ("appended", "cut", "edited")}
+    assert all(len(x) > 60 and all(x) for x in recall.values())
+    assert got == want
+
+
 def test_keep_first_on_odd_rows(spark):
     docs = odd(spark)
     kept = keep_first(docs, shingle_near_duplicates(docs))
