@@ -260,6 +260,9 @@ def shingle_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float
         asked = checkpointed(met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct())
         found = map_rows(own.join(small(asked, 16), "doc_id", "left_semi"), sets, [("set", longs)], ["doc_id"])
         found = checkpointed(found.distinct())
+        # Many pairs of few texts: the sets are sent once, not once for each pair.
+        held = found.agg(F.coalesce(F.sum(8 * F.size("set") + 32), F.lit(0))).first()[0]
+        found = F.broadcast(found) if held <= 32 << 20 else found
         x, y = found.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), found.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         near = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
