@@ -10,6 +10,13 @@ pair keys, takes the lowest rank of each word by a segmented minimum, and merges
 all its occurrences. That equals one-at-a-time merging since every merge's parts
 are made by earlier merges only, which is checked when a vocabulary is loaded.
 
+Unicode tables differ: the library's letters and numbers are those of Unicode 16, this
+Python's are older and the regex module's newer. Texts with a character that Python and
+regex don't agree on, and texts that aren't in NFC, are normalised by the library itself
+(its combining classes are older still) and split by a pattern held to Unicode 16.
+
+The driver reads the vocabulary file and broadcasts it (2 MB); executors need no copy.
+
 Edge cases: a null or empty text has no tokens and decodes to an empty text;
 repeated rows give repeated results; ids outside the vocabulary and nulls are
 skipped by the decoder; an existing column with an output's name is replaced.
@@ -17,8 +24,11 @@ skipped by the decoder; an existing column with an output's name is replaced.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import sys
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +58,38 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+# Letters and numbers that Unicode 16 added, by first and last code point.
+UNICODE_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x113B7), (0x113D1, 0x113D3),
+    (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF),
+    (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+)
+
+
+@lru_cache(maxsize=1)
+def unsure_characters() -> frozenset[str]:
+    """Characters that the regex module's tables call letters or numbers and Python's don't."""
+    everything = "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
+    return frozenset(c for kind in "LN" for c in regex.findall(rf"\p{{{kind}}}", everything) if unicodedata.category(c)[0] != kind)
+
+
 class WordBpe:
-    """A vocabulary file's encoder and decoder."""
+    """A vocabulary's encoder and decoder; ``source`` is the JSON text of its file."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, source: str):
+        spec = json.loads(source)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         suffix = model.get("end_of_word_suffix") or ""
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"), regex.V1).findall
+        pattern = pattern.replace(r"\s", r"\p{White_Space}")
+        self.find = regex.compile(pattern, regex.V1).findall
+        self.unsure = unsure_characters()
+        codes = np.array(sorted(c for c in map(ord, self.unsure) if not any(a <= c <= b for a, b in UNICODE_16)))
+        runs = np.split(codes, np.flatnonzero(np.diff(codes) != 1) + 1)
+        strange = "[" + "".join(f"\\U{r[0]:08X}-\\U{r[-1]:08X}" for r in runs) + "]"
+        self.strict = pattern.replace("[\\p{L}]", rf"[\p{{L}}--{strange}]").replace("[\\p{N}]", rf"[\p{{N}}--{strange}]").replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"[[^\p{{White_Space}}\p{{L}}\p{{N}}]||{strange}]")
+        self.source, self.normalise, self.find_strictly = source, None, None
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
@@ -135,9 +166,15 @@ class WordBpe:
         self.offsets.extend((base + ends).tolist())
 
     def pieces(self, text: str) -> list[str]:
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        return self.find(text.replace("Σ", "σ").lower())
+        if text.isascii() or (unicodedata.is_normalized("NFC", text) and self.unsure.isdisjoint(text)):
+            return self.find(text.replace("Σ", "σ").lower())
+        if not self.normalise:
+            from tokenizers import Tokenizer
+
+            self.normalise = Tokenizer.from_str(self.source).normalizer.normalize_str
+            self.find_strictly = regex.compile(self.strict, regex.V1).findall
+        text = self.normalise(text)
+        return self.find(text) if self.unsure.isdisjoint(text) else self.find_strictly(text)
 
     def split(self, text: str) -> list[str | int]:
         """Words, and the ids of added tokens, in order."""
@@ -177,11 +214,27 @@ class WordBpe:
 _loaded: dict[str, WordBpe] = {}
 
 
+def coder_of(source: str) -> WordBpe:
+    """One coder of each vocabulary in a process."""
+    key = hashlib.sha256(source.encode()).hexdigest()
+    if key not in _loaded:
+        _loaded[key] = WordBpe(source)
+    return _loaded[key]
+
+
+def read(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def load(path: str) -> WordBpe:
-    """One vocabulary of each path in a process."""
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+    """The coder of a vocabulary file."""
+    return coder_of(read(path))
+
+
+def _shipped(docs: DataFrame, path: str):
+    """The file's text, sent to each executor once."""
+    return docs.sparkSession.sparkContext.broadcast(read(path))
 
 
 def encode_parts(coder: WordBpe, texts) -> tuple[np.ndarray, np.ndarray]:
@@ -211,8 +264,10 @@ def _lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """Add the token ids of every whole text."""
 
+    source = _shipped(docs, vocabulary)
+
     def make():
-        coder = load(vocabulary)
+        coder = coder_of(source.value)
         return lambda batch: [_lists(*encode_parts(coder, texts_of(batch, text)))]
 
     return map_rows(docs, make, [(ids, T.ArrayType(T.IntegerType()))])
@@ -221,8 +276,10 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str =
 def bpe_decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """Add the text that the ids of every row decode to; null ids decode to an empty text."""
 
+    source = _shipped(docs, vocabulary)
+
     def make():
-        coder = load(vocabulary)
+        coder = coder_of(source.value)
         return lambda batch: [[coder.decode(x.as_py() or []) for x in batch.column(ids)]]
 
     return map_rows(docs, make, [(decoded, T.StringType())])
@@ -231,8 +288,10 @@ def bpe_decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", decoded
 def bpe_round_trip(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """Ids of every text and what they decode to, in one pass; the text itself is dropped."""
 
+    source = _shipped(docs, vocabulary)
+
     def make():
-        coder = load(vocabulary)
+        coder = coder_of(source.value)
 
         def step(batch):
             flat, offsets = encode_parts(coder, texts_of(batch, text))

@@ -1,21 +1,21 @@
 """Quality rules: statistics of each text, and lines that many documents of a host share.
 
-Lines are normalised (A-Z lower-cased, white space runs to one space, trimmed) and
-hashed. For each host the documents that have a line are counted. A line in more
-than ``max(floor, share * documents of the host)`` of them is boilerplate and is
-removed; a document that keeps less than ``least`` of its words is depleted.
-
-Copies and near copies of a text must count once, or a text would be taken for
-boilerplate because it was copied. So documents are told apart by the words at
-``RANKS`` in the order of their distinct words, the longest first: an edit shifts the
-ranks, yet few values arise among near copies, whereas documents that share no more
-than boilerplate differ at one rank or another. At each rank the distinct values are
-counted; the largest count is taken, for a line and for its host alike.
-
-Plain counts, which can't be smaller, come first and leave few lines. A host's
-boilerplate lines travel as one array in a broadcast while the measured size of all
-arrays allows it, else in a shuffled join that adaptive execution can split; a host
-can't have more than ``lines per document / share`` of them. Only DataFrame functions run.
+Lines are normalised (lower-cased, white space runs to one space, trimmed) and hashed.
+For each host the distinct documents that have a line are counted: documents whose
+normalised lines are the same, in order, are copies and count once. A line in more than
+``max(floor, share * distinct documents of the host)`` of them is boilerplate and is
+removed; a document that keeps less than ``least`` of its words is depleted. Near copies
+are documents of their own: a group of them that makes more than ``share`` of a host's
+distinct documents has its common lines taken for boilerplate.
+
+Plain counts, which can't be smaller, come first and leave few lines; only for these are
+(host, line, document) rows made distinct. A host's boilerplate lines travel as one array
+in a broadcast while the measured size of all arrays allows it, else in a shuffled join
+that adaptive execution can split; a host can't have more than ``lines per document /
+share`` of them. Only DataFrame functions run.
+
+Windows of eight words are hashed by doubling: words once, then pairs of hashes, of pairs
+and of fours; texts without an equal window pay for no more.
 
 Edge cases: null and empty texts have no words and fail; a null host is a host of
 its own; rows that repeat are answered once each; an empty table gives none.
@@ -26,46 +26,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, lower_ascii, packed, stored, words_of
+from millrace.llm.common import checkpointed, packed, stored
 
 FLOOR, SHARE, LEAST = 10, 0.05, 0.3
 WINDOW = 8
 BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 500_000
-#: Places in the order of a text's distinct words, the longest first.
-RANKS = (1, 2, 4, 8, 16)
 NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left", "clean_text", "base_failed", "kept")
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 BLANK = " \t\n\x0b\f\r"
 
 
-def normalised(line) -> Column:
-    return F.trim(F.regexp_replace(lower_ascii(line), r"[\x20\x09-\x0D]+", " "))
+def _spaced(text, blanks: str) -> Column:
+    """Each of ``blanks`` becomes a space."""
+    for b in blanks:
+        text = F.replace(text, F.lit(b), F.lit(" "))
+    return text
 
 
-def _lines(text: Column) -> Column:
-    """Lines that have a word."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.translate(x, BLANK, "")) > 0)
+def _words(text) -> Column:
+    return F.array_remove(F.split(_spaced(text, "\t\n\x0b\f\r"), " "), "")
 
 
-def _sketches(text: Column) -> Column:
-    """Hashes of the words at ``RANKS``, of the shortest word where there are fewer; of "" where there is none."""
-    order = F.sort_array(F.transform(F.array_distinct(words_of(lower_ascii(text))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False)
-    at = lambda k: F.get(order, F.least(F.lit(k), F.size(order)) - 1)["w"]
-    return F.array(*[F.xxhash64(F.coalesce(at(k), F.lit(""))) for k in RANKS])
+def _tidy(spaced) -> Column:
+    """Lower-cased text without blanks but spaces and newlines to its normalised lines that have a word, joined by newlines."""
+    untidy = F.contains(spaced, F.lit("  ")) | F.contains(spaced, F.lit(" \n")) | F.contains(spaced, F.lit("\n ")) | F.contains(spaced, F.lit("\n\n"))
+    t = F.when(untidy, F.regexp_replace(F.regexp_replace(spaced, " +", " "), " ?\n[ \n]*", "\n")).otherwise(spaced)
+    return F.btrim(t, F.lit(" \n"))
+
+
+def with_hashes(rows: DataFrame) -> DataFrame:
+    """Replace the column text by normal, the normalised text, and lines, its lines' hashes; one column at a time, so that none is computed twice."""
+    rows = rows.withColumn("lowered", _spaced(F.lower(F.coalesce("text", F.lit(""))), "\t\x0b\f\r")).withColumn("normal", _tidy(F.col("lowered")))
+    lines = F.transform(F.split("normal", "\n"), lambda x: F.xxhash64(x))
+    return rows.withColumn("lines", F.when(F.col("normal") == "", F.array().cast("array<long>")).otherwise(lines)).drop("text", "lowered")
 
 
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", floor: int = FLOOR, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(host, hashes): the hashes of each host's lines that too many of its documents share."""
-    lines = F.array_distinct(F.transform(_lines(F.col(text)), lambda x: F.xxhash64(normalised(x))))
-    own = stored(docs.select(F.col(host).alias("host"), _sketches(F.col(text)).alias("sketches"), lines.alias("lines")), "lines")
+    """(host, hashes): the hashes of each host's lines that too many of its distinct documents share."""
+    own = with_hashes(docs.select(F.col(host).alias("host"), F.col(text).alias("text")))
+    own = stored(own.select("host", F.xxhash64("normal").alias("doc"), F.array_distinct("lines").alias("lines")), "lines")
     many = own.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > floor)
     many = checkpointed(many.select(F.col("host").alias("of"), F.col("line").alias("shared")))
     many = F.broadcast(many) if many.count() <= broadcast_rows else many
-    met = own.select("host", "sketches", F.explode("lines").alias("line")).join(many, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("shared")))
+    met = own.select("host", "doc", F.explode("lines").alias("line")).join(many, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("shared")))
     # A null line stands for the document itself; it counts the host's documents.
-    rows = met.select("host", "sketches", "line").unionByName(own.select("host", "sketches", F.lit(None).cast("long").alias("line")))
-    rows = rows.select("host", "line", F.posexplode("sketches").alias("rank", "sketch")).distinct()
-    counts = rows.groupBy("host", "line", "rank").agg(F.count("*").alias("n")).groupBy("host", "line").agg(F.max("n").alias("n"))
+    rows = met.select("host", "line", "doc").unionByName(own.select("host", F.lit(None).cast("long").alias("line"), "doc")).distinct()
+    counts = rows.groupBy("host", "line").agg(F.count("*").alias("n"))
     counts = checkpointed(counts.where((F.col("n") > floor) | F.col("line").isNull()))
     total = counts.where(F.col("line").isNull()).select(F.col("host").alias("of"), F.col("n").alias("docs"))
     over = counts.where(F.col("line").isNotNull()).join(total, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > share * F.col("docs"))
@@ -75,19 +81,22 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", floor
 def _statistics(rows: DataFrame) -> DataFrame:
     """The columns of ``rows`` (with a column text), words, lines and the statistics' columns."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    w = rows.withColumn("words", words_of(F.col("text"))).withColumn("lines", _lines(F.col("text")))
-    last = F.size("words") - WINDOW + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    w = w.withColumn("hashes", F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, F.lit(WINDOW)))))
-    w = w.withColumn("sorted", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    w = rows.withColumn("spaced", _spaced(t, "\t\n\x0b\f\r"))
+    w = w.withColumn("words", F.array_remove(F.split("spaced", " "), "")).withColumn("lines", F.filter(F.split(t, "\n"), lambda x: F.ltrim(x, F.lit(BLANK)) != ""))
+    doubled = F.transform("words", lambda x: F.xxhash64(x))
+    for step in (1, 2, 4):  # the arrays' ends, which lack words, are cut below
+        w = w.withColumn("h", doubled)
+        doubled = F.zip_with("h", F.slice("h", step + 1, F.size("h")), lambda a, b: F.xxhash64(a, b))
+    w = w.withColumn("hashes", F.slice(doubled, 1, F.greatest(F.size("words") - WINDOW + 1, F.lit(0))))
+    w = w.withColumn("sorted", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i"))))))
     same = lambda x, k: F.coalesce(F.get("sorted", k)["h"] == x["h"], F.lit(False))
     w = w.withColumn("found", F.sort_array(F.transform(F.filter("sorted", lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
     repeat = F.aggregate("found", zero, lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(i, a["to"])).alias("n"), (i + WINDOW).alias("to")), lambda a: a["n"])
     return w.withColumns({
         "n_words": F.size("words").cast("long"),
-        "word_chars": F.length(F.translate(t, BLANK, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.replace("spaced", F.lit(" "), F.lit(""))).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         "n_repeat_words": F.coalesce(repeat, F.lit(0)).cast("long"),
     })
@@ -102,11 +111,14 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", floor: int
     size = flags.agg(F.coalesce(F.sum(8 * F.size("flags") + 64), F.lit(0))).first()[0]
     flags = F.broadcast(flags) if size <= broadcast_bytes else flags
     rows = packed(docs, NEW, text=F.col(text), host=F.col(host))
-    w = _statistics(rows.join(flags, F.col("host").eqNullSafe(F.col("of")), "left"))
-    flagged = lambda x: F.array_contains("flags", F.xxhash64(normalised(x)))
-    kept_line = lambda x: (F.length(F.translate(x, BLANK, "")) == 0) | ~flagged(x)
-    w = w.withColumn("gone", F.when(F.col("flags").isNotNull(), F.filter("lines", flagged)))
-    gone = F.aggregate("gone", F.lit(0), lambda a, x: a + F.size(words_of(x)))
+    rows = rows.join(flags, F.col("host").eqNullSafe(F.col("of")), "left")
+    rows = with_hashes(rows.withColumn("whole", F.col("text"))).withColumnRenamed("whole", "text")
+    rows = rows.withColumn("held", F.when(F.col("flags").isNotNull(), F.array_intersect("lines", "flags"))).drop("lines", "normal", "flags")
+    w = _statistics(rows)
+    flagged = lambda x: F.array_contains("held", F.xxhash64(_tidy(_spaced(F.lower(x), "\t\x0b\f\r"))))
+    kept_line = lambda x: (F.ltrim(x, F.lit(BLANK)) == "") | ~flagged(x)
+    w = w.withColumn("gone", F.when(F.size("held") > 0, F.filter("lines", flagged)))
+    gone = F.aggregate("gone", F.lit(0), lambda a, x: a + F.size(_words(x)))
     w = w.withColumn("n_left", F.col("n_words") - F.coalesce(gone, F.lit(0)))
     clean = F.when(F.size("gone") > 0, F.array_join(F.filter(F.split(F.col("text"), "\n"), kept_line), "\n")).otherwise(F.col("text"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

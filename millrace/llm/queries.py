@@ -8,8 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.quality import RANKS
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -152,15 +150,11 @@ wi AS (SELECT rid, unnest(range(1, len(ws) - 6)) AS i, ws FROM w WHERE len(ws) >
 ww AS (SELECT rid, i, list_slice(ws, i, i + 7) AS v FROM wi),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, v) AS c FROM ww) WHERE c > 1),
 rw AS (SELECT rid, count(DISTINCT p) AS n_repeat FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY rid),
-so AS (SELECT rid, source, ls, list_reverse_sort(list_transform(list_distinct({SPACED.format("lt")}), lambda x: {{'n': length(x), 'w': x}})) AS o FROM (SELECT *, translate(t, '{UPPER}', '{LOWER}') AS lt FROM w)),
-sk AS (SELECT rid, source, ls, unnest({list(RANKS)}) AS k, o FROM so),
-sr AS (SELECT rid, source, ls, k, CASE WHEN len(o) = 0 THEN '' ELSE o[least(k, len(o))].w END AS sketch FROM sk),
-ln AS (SELECT rid, source, unnest(ls) AS l FROM so),
-nl AS (SELECT rid, source, trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS l, len({SPACED.format("l")}) AS lw FROM ln),
-fk AS (SELECT nl.source, l, k, count(DISTINCT sketch) AS n FROM nl JOIN sr USING (rid) GROUP BY nl.source, l, k),
-fr AS (SELECT source, l, max(n) AS n FROM fk GROUP BY source, l),
-hk AS (SELECT source, k, count(DISTINCT sketch) AS docs FROM sr GROUP BY source, k),
-ho AS (SELECT source, max(docs) AS docs FROM hk GROUP BY source),
+ln AS (SELECT rid, source, unnest(ls) AS l, unnest(range(len(ls))) AS k FROM w),
+nl AS (SELECT rid, source, k, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS l, len({SPACED.format("l")}) AS lw FROM ln),
+tx AS (SELECT w.rid, any_value(w.source) AS source, coalesce(string_agg(l, chr(10) ORDER BY k), '') AS doc FROM w LEFT JOIN nl ON w.rid = nl.rid GROUP BY w.rid),
+fr AS (SELECT nl.source, l, count(DISTINCT doc) AS n FROM nl JOIN tx USING (rid) GROUP BY nl.source, l),
+ho AS (SELECT source, count(DISTINCT doc) AS docs FROM tx GROUP BY source),
 bad AS (SELECT fr.source, l FROM fr JOIN ho ON fr.source IS NOT DISTINCT FROM ho.source WHERE n > 10 AND n > 0.05::DOUBLE * docs),
 gone AS (SELECT rid, sum(lw) AS n_gone FROM nl JOIN bad ON nl.source IS NOT DISTINCT FROM bad.source AND nl.l = bad.l GROUP BY rid),
 s AS (SELECT rid, doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,

@@ -61,6 +61,18 @@ def test_bpe_equals_the_library_on_any_text(tokenizer, text):
     assert coder.decode(ids) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("before, after", [(":", ""), ("e", "\u0301")])
+def test_bpe_equals_the_library_on_every_kind_of_code_point(tokenizer, before, after):
+    """All code points but those inside the large blocks of ideographs, syllables and private use."""
+    coder = bpe.load(vocabulary())
+    texts = [before + chr(c) + after for a, b in ((0, 0x3401), (0x4DB5, 0x4E01), (0x9FF0, 0xAC01), (0xD7A0, 0xD800), (0xF8F0, 0x13000), (0x13420, 0x13480), (0x14390, 0x17000), (0x187F0, 0x20001), (0x323A0, 0x323C0), (0x3FC00, 0x3FC60)) for c in range(a, b)]
+    for k in range(0, len(texts), 1 << 14):
+        part = texts[k : k + (1 << 14)]
+        flat, ends = coder.encode(part)
+        for t, a, b, own in zip(part, ends[:-1], ends[1:], tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+            assert flat[a:b].tolist() == own.ids, repr(t)
+
+
 def test_bpe_on_odd_rows(spark):
     got = bpe.bpe_round_trip(odd(spark), vocabulary()).select("doc_id", F.size("token_ids"), "decoded").collect()
     assert Counter((r[0], r[1]) for r in got) == Counter({(1, 4): 2, (2, 0): 1, (3, 0): 1, (None, 3): 1, (4, 30_000): 1, (None, 0): 1})

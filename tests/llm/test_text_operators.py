@@ -252,6 +252,16 @@ def test_shared_lines_go_and_depleted_documents_fall(spark):
     assert plain == {(r["doc_id"], r["clean_text"], r["kept"]) for r in got.values()}
 
 
+def test_lines_are_counted_by_distinct_documents(spark):
+    """A footer of words longer than the bodies' is counted whole; copies of a text, whatever their case and spaces, count once."""
+    footer = " ".join(f"footerword{k:030d}" for k in range(20))
+    rows = [(k, f"{' '.join(f'b{k}x{j}' for j in range(40))}\n{footer}", "h") for k in range(30)] + [(100 + k, " ".join(f"o{k}x{j}" for j in range(40)), "h") for k in range(500)]
+    rows += [(700 + k, " ".join(f"c{j}" for j in range(25)) + " " * k + "\nAnd\tthis" + " too" * (k % 2), "h") for k in range(600)]
+    got = {r["doc_id"]: r for r in judge_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[k]["kept"] and got[k]["n_left"] == 40 and footer not in got[k]["clean_text"] for k in range(30))
+    assert all(got[700 + k]["kept"] and got[700 + k]["n_left"] == got[700 + k]["n_words"] for k in range(600))
+
+
 def test_quality_on_odd_rows(spark):
     docs = odd(spark)
     got = judge_quality(docs)
