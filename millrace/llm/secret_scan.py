@@ -1,15 +1,16 @@
 """Secret scans: base patterns, and a character convolutional network over further candidates.
 
-Base patterns (assignments, access keys, long hexadecimal runs) always stay. Every
-other run of 16 or more key characters with a letter and a digit is a candidate. A
-small convolutional network in numpy reads the candidate with the characters around
-it; long candidates are read in overlapping blocks and the highest block counts.
+Base patterns (assignments, access keys, long hexadecimal runs) always stay. What they
+leave of every run of key characters is a candidate where it has 12 characters or more,
+letters alone included. A small convolutional network in numpy reads the candidate with
+the characters around it; long candidates are read in overlapping blocks and the highest
+block counts.
 
 The network is trained at call time on labelled findings that ``labelled_findings``
 makes from a fixed seed (``TRAIN_ROWS`` rows, the documented bound): key formats as
 positives; paths, identifiers, versions, dates, addresses and prose as negatives. A
 held-out part calibrates the logits (Platt) and sets the threshold: the highest that
-still finds ``recall`` of the held-out secrets, and 0.5 at least.
+still finds ``recall`` of the held-out secrets.
 
 Edge cases: null and empty texts have no spans; rows that repeat are answered once
 each; ties are ordered by start, then kind; texts are scanned whole, and memory
@@ -32,13 +33,14 @@ KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+LEAST = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
 
 LEFT, BODY, RIGHT = 24, 64, 8
 WIDTH = LEFT + BODY + RIGHT
 EMBED, FILTERS, SPAN = 12, 32, 5
 PAD, OTHER = 128, 129
-TRAIN_ROWS, SEED, EPOCHS, RECALL = 4000, 7, 5, 0.95
+TRAIN_ROWS, SEED, EPOCHS, RECALL = 8000, 7, 5, 0.98
 SCORE_ROWS = 1024
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
@@ -53,21 +55,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs with a letter and a digit that no base span touches."""
+    """What base spans leave of each run, in pieces of ``LEAST`` characters or more."""
     out, k = [], 0
-    # One sweep: both lists are in order. Spans may nest, so the furthest end counts.
-    ends, top = [], 0
-    for _, _, stop in taken:
-        ends.append(top := max(top, stop))
+    # One sweep: both lists are in order. Spans may nest, so they are joined first.
+    joined: list[list[int]] = []
+    for a, _, b in taken:
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(b, joined[-1][1])
+        else:
+            joined.append([a, b])
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        while k < len(taken) and ends[k] <= a:
+        at, end = m.span()
+        while k < len(joined) and joined[k][1] <= at:
             k += 1
-        if k < len(taken) and taken[k][0] < b:
-            continue
-        run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
-            out.append((a, b))
+        j = k
+        while j < len(joined) and joined[j][0] < end:
+            if joined[j][0] - at >= LEAST:
+                out.append((at, joined[j][0]))
+            at, j = max(at, joined[j][1]), j + 1
+        if end - at >= LEAST:
+            out.append((at, end))
     return out
 
 
@@ -157,7 +164,7 @@ class CharCnn:
             a, b = a - step[0], b - step[1]
         self.scale, self.shift = float(a), float(b)
         own = np.sort(1 / (1 + np.exp(-(a * z[labels > 0] + b))))
-        self.threshold = max(0.5, float(own[int((1 - recall) * len(own))]))
+        self.threshold = float(own[int((1 - recall) * len(own))])
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         z = np.concatenate([self.forward(rows[k : k + SCORE_ROWS])[5] for k in range(0, len(rows), SCORE_ROWS)])
@@ -173,6 +180,7 @@ def labelled_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[tuple[str,
     length = lambda a, b: int(r.integers(a, b))
     word = lambda: pick("etaoinshrdlu", length(2, 9))
     number = lambda a, b: pick(dig, length(a, b))
+    spoken = lambda k: "".join(pick("bcdfghklmnprstvwz", 1) + pick("aeiou", 1) + pick("nrstlch", length(0, 2)) for _ in range(k))
     secrets = [
         lambda: "ghp_" + pick(mixed, 36),
         lambda: ("sk_live_", "sk_test_", "rk_live_", "sk-")[length(0, 4)] + pick(mixed, length(20, 40)),
@@ -184,6 +192,8 @@ def labelled_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[tuple[str,
         lambda: "glpat-" + pick(mixed + "_-", 20),
         lambda: "SG." + pick(mixed, 22) + "." + pick(mixed, 43),
         lambda: pick("0123456789ABCDEF", length(24, 64)),
+        lambda: pick(up + low, length(20, 48)),
+        lambda: pick(mixed + "_-", length(22, 48)),
     ]
     plain = [
         lambda: "/".join(word() for _ in range(length(3, 6))) + "/" + number(1, 6),
@@ -197,6 +207,16 @@ def labelled_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[tuple[str,
         lambda: word() + word() + word() + number(1, 4),
         lambda: number(12, 20) + word()[:2],
         lambda: word() + "=" * length(3, 9) + number(1, 3) + word() + word(),
+        lambda: spoken(length(4, 9)),
+        lambda: spoken(length(4, 8)).capitalize() + ".",
+        lambda: spoken(length(4, 9)).upper(),
+        lambda: "-".join(spoken(length(1, 4)) for _ in range(length(2, 5))),
+        lambda: spoken(3).capitalize() + spoken(length(2, 4)).capitalize() + spoken(length(1, 4)),
+        lambda: "/".join(spoken(length(1, 4)) for _ in range(length(2, 6))) + ("", ".py", ".html", ".tar.gz")[length(0, 4)],
+        lambda: "_".join(spoken(length(1, 4)) for _ in range(length(2, 5))).upper(),
+        lambda: "-_=."[length(0, 4)] * length(12, 60),
+        lambda: ".".join(number(1, 4) for _ in range(length(3, 6))),
+        lambda: spoken(length(1, 3)) + "..." + spoken(length(2, 5)),
         lambda: "-".join((pick("0123456789abcdef", 8), *(pick("0123456789abcdef", 4) for _ in range(3)), pick("0123456789abcdef", 12))),
     ]
     before = {1: ["key: ", "auth=", "Authorization: Bearer ", "credential ", "export KEY=", "", "--key ", '"', "private "], 0: ["see ", "at ", "https://", "file ", "the ", "", "id ", "version ", '"']}
@@ -208,8 +228,8 @@ def labelled_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[tuple[str,
         mark = before[label if r.random() < 0.7 else 1 - label]
         lead = (lead + " " if lead else "") + mark[length(0, len(mark))]
         body = kinds[length(0, len(kinds))]()
-        while len(body) < 16:
-            body += number(4, 8) if not label else pick(mixed, 8)
+        while len(body) < LEAST:
+            body += pick(mixed, 8) if label else number(4, 8) if r.random() < 0.5 else spoken(4)
         tail = ("", " ", '" ', ". ", "\n")[length(0, 5)] + " ".join(word() for _ in range(length(0, 3)))
         out.append((lead + body + tail, len(lead), len(lead) + len(body), label))
     return out

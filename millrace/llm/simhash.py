@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import checkpointed, map_rows, packed, small, texts_of
+from millrace.llm.common import checkpointed, map_rows, packed, small, stored, texts_of
 
 SEED = 42
 #: Shingle hashes whose bits are unpacked at once.
@@ -38,8 +38,8 @@ BLOCK = 1 << 14
 MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 #: One distinct text in SAMPLE tells which shingles are frequent: in OFTEN of them; the HOT most frequent are kept.
 SAMPLE, OFTEN, HOT = 16, 3, 1 << 19
-#: Pairs above which another head is tried before all are compared, heads tried at most, members compared in one piece.
-PAIRS, TURNS, PAIR_BLOCK = 5_000_000, 4, 256
+#: Open pairs a row above which another head is tried before all are compared, heads tried at most, members compared in one piece.
+PAIRS, TURNS, PAIR_BLOCK = 200, 4, 256
 
 
 def fingerprint_of(text: str, shingle: int) -> int:
@@ -128,12 +128,6 @@ def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def key_of(text: str) -> tuple[int, int]:
-    """A 128-bit hash of the words' sequence, as signed numbers."""
-    own = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(_words(text)), SEED), dtype=">i8")
-    return int(own[0]), int(own[1])
-
-
 def shingles_of(text: str, shingle: int) -> np.ndarray:
     """Distinct hashes of the word shingles, in order; fewer words count as one shingle."""
     words = _words(text)
@@ -167,10 +161,20 @@ def prefix_of(own: np.ndarray, hot: np.ndarray, counts: np.ndarray, similarity:
     return own[np.lexsort((own, held))][:first], int((held == 0).sum())
 
 
-def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
-    ends = np.cumsum([0, *(0 if a is None else len(a) for a in arrays)])
-    flat = np.concatenate([np.empty(0, np.int64), *(a for a in arrays if a is not None)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether each of m slots has an odd number of the set's hashes, as m bits; m is a power of two, two to four times the set's size, 64 at least.
+
+    A hash that only one of two sets has changes one slot, so the sets differ in no
+    fewer hashes than their parities (the longer ones folded) in slots.
+    """
+    m = max(64, 1 << (2 * len(own) - 1).bit_length())
+    odd = np.bincount((own.view(np.uint64) >> np.uint64(7)).astype(np.int64) & (m - 1), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *arrays]), pa.int64()))
 
 
 def _fits(x: str, y: str, similarity: float):
@@ -203,66 +207,74 @@ def _all_pairs(rows: DataFrame, similarity: float, block: int) -> DataFrame:
     return met.where(_fits("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def _can_be_alike(similarity: float):
+    """Whether the parities of sets a and b let them be alike: they may differ in (1 - s) / (1 + s) of both sizes' sum at most."""
+    half = lambda c: F.size(c) / F.lit(2).cast("int")
+    folded = lambda c: F.zip_with(F.slice(c, F.lit(1), half(c).cast("int")), F.slice(c, half(c).cast("int") + 1, half(c).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    a = F.when(F.size("oa") > F.size("ob"), folded("oa")).otherwise(F.col("oa"))
+    b = F.when(F.size("ob") > F.size("oa"), folded("ob")).otherwise(F.col("ob"))
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    # Sizes apart by more than one doubling can't be alike at all from a similarity of 0.5 on.
+    near = F.greatest(F.size("oa"), F.size("ob")) <= 2 * F.least(F.size("oa"), F.size("ob"))
+    return near & (apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + F.lit(1e-6))
+
+
 def shingle_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", pairs: int = PAIRS, block: int = PAIR_BLOCK) -> DataFrame:
-    """(doc_id, component_id): groups linked by a Jaccard similarity of word shingles.
+    """(doc_id, component_id): groups linked by a Jaccard similarity of word shingles, 0.5 or more.
 
     Exact: texts alike share one of their rarest shingles (``prefix_of``), so all that
-    share one are compared on the shingle sets of their whole texts, but for those
-    that are linked already. Texts of the same words are one node. First each
-    shingle's texts are compared with one head; while over ``pairs`` pairs are open,
-    with another, at most ``TURNS`` times; then all open pairs are.
+    share one are compared, but for those that are linked already: first by bits that
+    bound the difference from below (``parities``), then on the shingle sets of their
+    whole texts. Equal texts are one node. First each shingle's texts are compared with
+    one head; while more than ``pairs`` pairs a row are open, with another, at most
+    ``TURNS`` times; then all open pairs are.
     """
+    if not 0.5 <= similarity <= 1:
+        raise ValueError("the similarity must be from 0.5 to 1")
     spark = docs.sparkSession
-
-    def keys():
-        def step(batch):
-            found, held = [], []
-            for t in texts_of(batch, "text"):
-                key = key_of(t)
-                found.append(key)
-                held.append(shingles_of(t, shingle) if key[1] % SAMPLE == 0 else None)
-            return [[k for k, _ in found], [k for _, k in found], _lists(held)]
-
-        return step
+    long, longs = T.LongType(), T.ArrayType(T.LongType())
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
+    marked = checkpointed(own.select("doc_id", F.unhex(F.md5("text")).alias("k")))
+    nodes = checkpointed(marked.groupBy("k").agg(F.min("doc_id").alias("node")))
+    copies = marked.join(nodes, "k").where(F.col("doc_id") != F.col("node")).select("doc_id").distinct()
+    copies = checkpointed(copies.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti"))
+    texts = own.join(small(copies, 16), "doc_id", "left_anti")
 
     def sets():
         return lambda batch: [_lists([shingles_of(t, shingle) for t in texts_of(batch, "text")])]
 
-    long, longs = T.LongType(), T.ArrayType(T.LongType())
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    marked = checkpointed(map_rows(own, keys, [("k0", long), ("k1", long), ("held", longs)], ["doc_id"]))
-    nodes = checkpointed(marked.groupBy("k0", "k1").agg(F.min("doc_id").alias("node")))
     # Frequent shingles by a sample of distinct texts: they only order the shingles.
-    held = marked.where(F.size("held") > 0).groupBy("k0", "k1").agg(F.first("held").alias("held"))
-    often = held.select(F.explode("held").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN)
+    sampled = map_rows(texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), sets, [("set", longs)], [])
+    often = sampled.select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN)
     often = sorted((r["h"], r["c"]) for r in often.orderBy(F.desc("c"), "h").limit(HOT).collect())  # bounded
     hot = spark.sparkContext.broadcast((np.array([h for h, _ in often], np.int64), np.array([c for _, c in often], np.int64)))
 
     def prefixes():
         def step(batch):
-            n, rare, first = [], [], []
+            n, rare, first, odd = [], [], [], []
             for t in texts_of(batch, "text"):
                 x = shingles_of(t, shingle)
                 p, r = prefix_of(x, *hot.value, similarity)
-                n.append(len(x)), rare.append(r), first.append(p)
-            return [n, rare, _lists(first)]
+                n.append(len(x)), rare.append(r), first.append(p), odd.append(parities(x))
+            return [n, rare, _lists(first), _lists(odd)]
 
         return step
 
-    heads = nodes.select(F.col("node").alias("doc_id"))
-    firsts = map_rows(own.join(small(heads, 16), "doc_id", "left_semi"), prefixes, [("n", long), ("rare", long), ("first", longs)], ["doc_id"])
+    firsts = stored(map_rows(texts, prefixes, [("n", long), ("rare", long), ("first", longs), ("odd", longs)], ["doc_id"]), "prefixes")
     rows = firsts.select(F.col("doc_id").alias("node"), F.col("n").cast("int"), F.col("rare").cast("int"), F.posexplode("first").alias("pos", "h"))
     each = Window.partitionBy("h")
     rows = checkpointed(rows.withColumn("least", F.min("node").over(each)).withColumn("most", F.max("node").over(each)).where("least < most").drop("least", "most"))
+    odds = firsts.select("doc_id", "n", "odd")
 
     def alike(met: DataFrame) -> DataFrame:
         met = checkpointed(met)
+        asked = small(checkpointed(met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct()), 16)
+        bits = odds.join(asked, "doc_id", "left_semi")
+        x, y = (bits.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "ab")
+        met = checkpointed(met.join(x, "a").join(y, "b").where(_can_be_alike(similarity)).select("a", "b").distinct())
         asked = checkpointed(met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct())
-        found = map_rows(own.join(small(asked, 16), "doc_id", "left_semi"), sets, [("set", longs)], ["doc_id"])
-        found = checkpointed(found.distinct())
-        # Many pairs of few texts: the sets are sent once, not once for each pair.
-        held = found.agg(F.coalesce(F.sum(8 * F.size("set") + 32), F.lit(0))).first()[0]
-        found = F.broadcast(found) if held <= 32 << 20 else found
+        found = map_rows(own.join(small(asked, 16), "doc_id", "left_semi"), sets, [("set", longs)], ["doc_id"]).distinct()
+        found = stored(found, "sets")
         x, y = found.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), found.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         near = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
@@ -275,15 +287,16 @@ def shingle_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float
             rows = rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             rows = rows.withColumn("least", F.min("label").over(each)).withColumn("most", F.max("label").over(each))
             rows = checkpointed(rows.where("least < most").drop("least", "most"))
-        sizes = rows.groupBy("h", "label").agg(F.count("*").alias("s")).groupBy("h").agg(((F.pow(F.sum("s"), F.lit(2)) - F.sum(F.col("s") * F.col("s"))) / 2).alias("open"))
-        last = turn == TURNS or (turn > 0 and (sizes.agg(F.sum("open")).first()[0] or 0) <= pairs)
+        sizes = rows.groupBy("h", "label").agg(F.count("*").alias("s")).groupBy("h").agg(F.sum("s").alias("n"), ((F.pow(F.sum("s"), F.lit(2)) - F.sum(F.col("s") * F.col("s"))) / 2).alias("open"))
+        held, still = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("open"), F.lit(0.0))).first()
+        last = turn == TURNS or (turn > 0 and still <= pairs * held)
         found = alike(_all_pairs(rows, similarity, block) if last else _stars(rows, similarity, turn))
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
         if last:
             break
-    found = nodes.join(labels, "node", "left").select("k0", "k1", F.coalesce("label", "node").alias("component_id"))
-    return marked.join(found, ["k0", "k1"]).select("doc_id", "component_id")
+    found = nodes.join(labels, "node", "left").select("k", F.coalesce("label", "node").alias("component_id"))
+    return marked.join(found, "k").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, marked: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -133,7 +133,7 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_shingle_groups_against_brute_force(spark, small):
-    """Exact copies always meet; of the pairs of 0.8 or more nearly all do, and no others."""
+    """All pairs of 0.8 or more meet, and no others."""
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     sets = {}
     for i, t in docs.collect():
@@ -149,8 +149,8 @@ def test_shingle_groups_against_brute_force(spark, small):
     got = {r["doc_id"]: r["component_id"] for r in shingle_near_duplicates(docs).collect()}
     assert got.keys() == want.keys()
     together = sum(got[a] == got[b] for a, b in near)
-    assert together >= 0.97 * len(near)
-    assert all(want[i] == want[got[i]] or not sets[i] for i in got)
+    assert together == len(near) > 50
+    assert all(want[i] == got[i] or not sets[i] for i in got)
     kept = {r["doc_id"] for r in keep_first(docs, shingle_near_duplicates(docs)).collect()}
     assert kept == {i for i in got if got[i] == i}
 
