@@ -181,6 +181,7 @@ def labelled_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[tuple[str,
     word = lambda: pick("etaoinshrdlu", length(2, 9))
     number = lambda a, b: pick(dig, length(a, b))
     spoken = lambda k: "".join(pick("bcdfghklmnprstvwz", 1) + pick("aeiou", 1) + pick("nrstlch", length(0, 2)) for _ in range(k))
+    common = lambda k: pick("eeeeeetttttaaaaooooiiiinnnnsssshhhrrrddllllccuummwwffggyyyppbbvk", k)
     secrets = [
         lambda: "ghp_" + pick(mixed, 36),
         lambda: ("sk_live_", "sk_test_", "rk_live_", "sk-")[length(0, 4)] + pick(mixed, length(20, 40)),
@@ -210,6 +211,8 @@ def labelled_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[tuple[str,
         lambda: spoken(length(4, 9)),
         lambda: spoken(length(4, 8)).capitalize() + ".",
         lambda: spoken(length(4, 9)).upper(),
+        lambda: common(length(12, 26)),
+        lambda: common(length(12, 22)).upper(),
         lambda: "-".join(spoken(length(1, 4)) for _ in range(length(2, 5))),
         lambda: spoken(3).capitalize() + spoken(length(2, 4)).capitalize() + spoken(length(1, 4)),
         lambda: "/".join(spoken(length(1, 4)) for _ in range(length(2, 6))) + ("", ".py", ".html", ".tar.gz")[length(0, 4)],
