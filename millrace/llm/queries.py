@@ -168,11 +168,11 @@ FROM s LEFT JOIN rw USING (rid) LEFT JOIN gone USING (rid)
 _SEG = "list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(regexp_replace(s, '[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{16,}', '<x>', 'g'), '[0-9]+', '<n>', 'g'))"
 _LEVELS = "".join(
     f"""
-c{k} AS (SELECT *, coalesce(seg[{k + 1}], '') AS child FROM t{k}),
+c{k} AS (SELECT *, {"coalesce(array_to_string(seg[4:], '/'), '')" if k == 3 else f"coalesce(seg[{k + 1}], '')"} AS child FROM t{k}),
 w{k} AS (SELECT host AS wh, tmpl AS wt FROM c{k} WHERE child <> '' GROUP BY host, tmpl HAVING count(DISTINCT child) > 16),
-t{k + 1} AS (SELECT page_id, host, path, rule, told, seg, CASE WHEN child = '' THEN parent ELSE tmpl END AS parent,
-  tmpl || CASE WHEN child = '' THEN '' WHEN wh IS NOT NULL THEN '/<*>' ELSE '/' || child END AS tmpl
-  FROM c{k} LEFT JOIN w{k} ON host = wh AND tmpl = wt),"""
+s{k} AS (SELECT page_id, host, path, rule, told, seg, chain, child, tmpl || CASE WHEN child = '' THEN '' WHEN wh IS NOT NULL THEN '/<*>' ELSE '/' || child END AS tmpl
+  FROM c{k} LEFT JOIN w{k} ON host = wh AND tmpl = wt),
+t{k + 1} AS (SELECT page_id, host, path, rule, told, seg, tmpl, CASE WHEN child = '' THEN chain ELSE list_append(chain, tmpl) END AS chain FROM s{k}),"""
     for k in range(4)
 )
 OP9_SQL = f"""
@@ -181,14 +181,19 @@ h AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
 r(told, rule, rh, rp) AS (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
 hh AS (SELECT row_number() OVER () AS rid, * FROM h),
 f AS (SELECT rid, arg_max(rule, length(rule)) AS rule, arg_max(told, length(rule)) AS told FROM hh, r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY rid),
-t0 AS (SELECT page_id, host, path, rule, told, {_SEG} AS seg, '' AS parent, '' AS tmpl FROM hh LEFT JOIN f USING (rid)),{_LEVELS}
-n AS (SELECT host, parent, tmpl, sum((told = 'block')::INT)::DOUBLE AS bad, count(*)::DOUBLE AS n FROM t4 WHERE told IS NOT NULL GROUP BY ALL),
-p AS (SELECT coalesce(sum(bad), 0) / greatest(coalesce(sum(n), 0), 1) AS prior FROM n),
-fam AS (SELECT host AS fh, parent AS fp, sum(bad) AS fbad, sum(n) AS fn FROM n GROUP BY ALL),
-m AS (SELECT *, fbad / fn AS q, fn - n AS rest FROM n JOIN fam ON host = fh AND parent = fp, p),
-e AS (SELECT *, rest > 0 AND abs(bad / n - (fbad - bad) / greatest(rest, 1)) <= 1.96 * sqrt(q * (1 - q) * (1 / n + 1 / greatest(rest, 1))) AS alike FROM m),
-g AS (SELECT DISTINCT host AS gh, tmpl AS gt FROM e WHERE (CASE WHEN alike THEN fbad ELSE bad END + 5 * prior) / (CASE WHEN alike THEN fn ELSE n END + 5) >= 0.8)
-SELECT page_id, host, path, rule, coalesce(told, CASE WHEN gh IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM t4 LEFT JOIN g ON host = gh AND tmpl = gt
+t0 AS (SELECT page_id, host, path, rule, told, {_SEG} AS seg, '' AS tmpl, [''] AS chain FROM hh LEFT JOIN f USING (rid)),{_LEVELS}
+x AS (SELECT host, told, chain, unnest(range(len(chain))) AS d FROM t4 WHERE told IS NOT NULL),
+n AS (SELECT host, d, chain[d + 1] AS tmpl, CASE WHEN d > 0 THEN chain[d] END AS parent, sum((told = 'block')::INT)::DOUBLE AS bad, count(*)::DOUBLE AS n FROM x GROUP BY ALL),
+p AS (SELECT coalesce(sum(bad), 0) / greatest(coalesce(sum(n), 0), 1) AS prior FROM n WHERE d = 0),
+fam AS (SELECT host AS fh, d AS fd, parent AS fp, sum(bad) AS fbad, sum(n) AS fn FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT *, fbad / fn AS q, fn - n AS rest FROM n LEFT JOIN fam ON host = fh AND d = fd AND parent = fp),
+e AS (SELECT host, d, tmpl, parent, bad, n, coalesce(rest > 0 AND abs(bad / n - (fbad - bad) / greatest(rest, 1)) <= 1.96 * sqrt(q * (1 - q) * (1 / n + 1 / greatest(rest, 1))), false) AS alike FROM m),
+al AS (SELECT host AS ah, d AS ad, parent AS ap, sum(bad) AS abad, sum(n) AS an FROM e WHERE alike GROUP BY ALL),
+g AS (SELECT host, d, tmpl, (coalesce(abad, bad) + 5 * prior) / (coalesce(an, n) + 5) >= 0.8 AS gone FROM e LEFT JOIN al ON alike AND host = ah AND d = ad AND parent = ap CROSS JOIN p),
+l AS (SELECT DISTINCT host, chain FROM t4 WHERE told IS NULL),
+k AS (SELECT host, chain, unnest(range(len(chain))) AS d FROM l),
+v AS (SELECT k.host AS vh, k.chain AS vc, arg_max(gone, k.d) AS gone FROM k JOIN g ON k.host = g.host AND k.d = g.d AND k.chain[k.d + 1] = g.tmpl GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(told, CASE WHEN gone THEN 'block' ELSE 'allow' END) AS verdict FROM t4 LEFT JOIN v ON host = vh AND chain = vc
 """
 
 _BITS = "list_aggregate(list_transform(string_split(sha1(html), ''), lambda c: lpad(bin(('0x' || c)::INT), 4, '0')), 'string_agg', '')"

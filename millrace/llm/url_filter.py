@@ -2,15 +2,18 @@
 
 Paths are cut into segments. Numbers and hexadecimal runs in a segment become marks;
 then, level by level, a node of a host's tree with more than ``branching`` distinct
-children turns them all into a wildcard. Labelled urls are counted for every node.
-A branch whose share of bad labels doesn't differ significantly (two-proportion z)
-from that of its siblings is merged with them; any other stands alone. A template is
-rejected if its share of bad labels, smoothed towards the share of all labels, is
-``reject`` or more. Only DataFrame functions run; nodes, not urls, are compared.
+children turns them all into a wildcard. The last of ``depth`` levels takes all segments
+that are left as one. Labelled urls are counted for every node that they pass, the
+host's root included. A branch whose share of bad labels doesn't differ significantly
+(two-proportion z) from that of its siblings together is alike; alike siblings are merged,
+any other branch stands alone. A branch is bad if its share of bad labels, smoothed
+towards the share of all labels, is ``reject`` or more. The deepest branch with labels
+that a url passes judges it, so templates without labels inherit from above.
+Only DataFrame functions run; nodes and distinct templates, not urls, are compared.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits no
-rule and is allowed unless its empty template is rejected; rows that repeat are
-answered once each; without labels everything is allowed.
+rule and is judged as the empty host's root; hosts without labels are allowed; rows that
+repeat are answered once each; without labels everything is allowed.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, lower_ascii, packed
+from millrace.llm.common import checkpointed, lower_ascii, packed, small
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Rules travel inside the plan; more belong in a table of their own.
@@ -53,14 +56,15 @@ def _shape(segment: Column) -> Column:
 
 
 def templates(urls: DataFrame, depth: int = DEPTH, branching: int = BRANCHING) -> DataFrame:
-    """Add parent and template to rows with host and path (and no column seg, child, wh or wt).
+    """Add chain, the templates from the host's root ("") down to the url's own, to rows with host and path (and no column seg, template, child, wh or wt).
 
     Wide nodes are found one level at a time, as a wildcard above changes the nodes below.
     """
     segments = F.transform(F.filter(F.split(F.col("path"), "/"), lambda s: s != ""), _shape)
-    rows = urls.withColumn("seg", segments).withColumn("parent", F.lit("")).withColumn("template", F.lit(""))
+    rows = urls.withColumn("seg", segments).withColumn("template", F.lit("")).withColumn("chain", F.array(F.lit("")))
     for level in range(depth):
-        at = rows.withColumn("child", F.coalesce(F.get("seg", F.lit(level)), F.lit("")))
+        rest = F.array_join(F.slice("seg", level + 1, F.greatest(F.size("seg"), F.lit(1))), "/")
+        at = rows.withColumn("child", rest if level == depth - 1 else F.coalesce(F.get("seg", F.lit(level)), F.lit("")))
         nodes = at.where("child != ''").select("host", "template", "child").distinct()
         wide = nodes.groupBy("host", "template").agg(F.count("*").alias("n")).where(F.col("n") > branching)
         wide = checkpointed(wide.select(F.col("host").alias("wh"), F.col("template").alias("wt")))
@@ -68,24 +72,29 @@ def templates(urls: DataFrame, depth: int = DEPTH, branching: int = BRANCHING) -
             wide = F.broadcast(wide)
         met = at.join(wide, (F.col("host") == F.col("wh")) & (F.col("template") == F.col("wt")), "left")
         step = F.when(F.col("child") == "", "").when(F.col("wh").isNotNull(), "/<*>").otherwise(F.concat(F.lit("/"), F.col("child")))
-        rows = met.withColumn("parent", F.when(F.col("child") == "", F.col("parent")).otherwise(F.col("template"))).withColumn("template", F.concat("template", step)).drop("wh", "wt", "child")
-    return rows.drop("seg")
-
-
-def rejected(labelled: DataFrame, weight: float = WEIGHT, reject: float = REJECT, z: float = Z) -> DataFrame:
-    """(host, template) to reject, from rows (host, parent, template, bad)."""
-    nodes = checkpointed(labelled.groupBy("host", "parent", "template").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")))
-    total = nodes.agg((F.coalesce(F.sum("bad"), F.lit(0)) / F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(1))).alias("prior"))  # one row
-    families = nodes.groupBy(F.col("host").alias("fh"), F.col("parent").alias("fp")).agg(F.sum("bad").alias("fbad"), F.sum("n").alias("fn"))
-    met = nodes.join(families, (F.col("host") == F.col("fh")) & (F.col("parent") == F.col("fp"))).join(F.broadcast(total))
+        rows = met.withColumn("template", F.concat("template", step)).withColumn("chain", F.when(F.col("child") == "", F.col("chain")).otherwise(F.concat("chain", F.array("template")))).drop("wh", "wt", "child")
+    return rows.drop("seg", "template")
+
+
+def branches(labelled: DataFrame, weight: float = WEIGHT, reject: float = REJECT, z: float = Z) -> DataFrame:
+    """(host, depth, template, reject) of every branch with labels, from rows (host, chain, bad)."""
+    steps = F.transform("chain", lambda t, k: F.struct(k.alias("depth"), F.get("chain", k - 1).alias("parent"), t.alias("template")))
+    each = labelled.groupBy("host", "chain").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).select("host", "bad", "n", F.explode(steps).alias("s"))
+    nodes = checkpointed(each.groupBy("host", "s.depth", "s.parent", "s.template").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")))
+    total = nodes.where("depth = 0").agg((F.coalesce(F.sum("bad"), F.lit(0)) / F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(1))).alias("prior"))  # one row
+    # The root has no siblings; its parent is null and meets no family.
+    family = ["host", "depth", "parent"]
+    told = lambda df, b, n: df.groupBy(*family).agg(F.sum("bad").alias(b), F.sum("n").alias(n))
+    met = nodes.join(told(nodes, "fbad", "fn"), family, "left")
     pooled = F.col("fbad") / F.col("fn")
     rest = F.col("fn") - F.col("n")
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n") + 1 / F.greatest(rest, F.lit(1))))
     gap = F.abs(F.col("bad") / F.col("n") - (F.col("fbad") - F.col("bad")) / F.greatest(rest, F.lit(1)))
-    alike = (rest > 0) & (gap <= z * error)
-    bad, n = F.when(alike, F.col("fbad")).otherwise(F.col("bad")), F.when(alike, F.col("fn")).otherwise(F.col("n"))
-    share = (bad + weight * F.col("prior")) / (n + weight)
-    return met.where(share >= reject).select("host", "template")
+    met = checkpointed(met.withColumn("alike", F.coalesce((rest > 0) & (gap <= z * error), F.lit(False))).drop("fbad", "fn"))
+    merged = told(met.where("alike"), "abad", "an").withColumn("alike", F.lit(True))
+    met = met.join(merged, [*family, "alike"], "left").join(F.broadcast(total))
+    share = (F.coalesce("abad", "bad") + weight * F.col("prior")) / (F.coalesce("an", "n") + weight)
+    return met.select("host", "depth", "template", (share >= reject).alias("reject"))
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES, depth: int = DEPTH, branching: int = BRANCHING, weight: float = WEIGHT, reject: float = REJECT) -> DataFrame:
@@ -94,10 +103,13 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, depth: int = DEPTH, b
     own = own.select("row", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, told = rule_for(F.col("host"), F.col("path"), rules)
     rows = templates(own.withColumn("rule", rule).withColumn("told", told), depth, branching)
-    labelled = rows.where(F.col("told").isNotNull()).select("host", "parent", "template", (F.col("told") == "block").cast("long").alias("bad"))
-    gone = checkpointed(rejected(labelled, weight, reject)).select(F.col("host").alias("gh"), F.col("template").alias("gt"))
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    met = rows.join(gone, (F.col("host") == F.col("gh")) & (F.col("template") == F.col("gt")), "left")
+    labelled = rows.where(F.col("told").isNotNull()).select("host", "chain", (F.col("told") == "block").cast("long").alias("bad"))
+    known = checkpointed(branches(labelled, weight, reject))
+    # Distinct templates meet the branches on their way; the deepest one says what becomes of them.
+    passed = rows.where(F.col("told").isNull()).select("host", "chain").distinct().select("host", "chain", F.posexplode("chain").alias("depth", "template"))
+    passed = passed.join(small(known, 200), ["host", "depth", "template"])
+    gone = passed.groupBy("host", "chain").agg(F.max_by("reject", "depth").alias("reject")).where("reject")
+    gone = checkpointed(gone.select(F.col("host").alias("gh"), F.col("chain").alias("gc")))
+    met = rows.join(small(gone, 200), (F.col("host") == F.col("gh")) & (F.col("chain") == F.col("gc")) & F.col("told").isNull(), "left")
     own_verdict = F.when(F.col("gh").isNotNull(), "block").otherwise("allow")
     return met.select("row.*", "host", "path", "rule", F.coalesce("told", own_verdict).alias("verdict"))

@@ -299,6 +299,57 @@ def test_rules_equal_brute_force(spark, small):
             assert got[k]["verdict"] == RULES[rule]
 
 
+def brute_tree(urls, rules, depth=4, branching=16, weight=5.0, reject=0.8):
+    """Verdicts by a tree of dictionaries."""
+    found = [brute_rule(u) for u in urls]
+    paths = []
+    for _, path, _ in found:
+        seg = [re.sub("[0-9]+", "<n>", re.sub(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{16,}", "<x>", x)) for x in path.split("/") if x]
+        paths.append(seg[: depth - 1] + (["/".join(seg[depth - 1 :])] if seg[depth - 1 :] else []))
+    chains = [[(f[0],)] for f in found]
+    for level in range(depth):
+        below = defaultdict(set)
+        for chain, seg in zip(chains, paths, strict=True):
+            if level < len(seg):
+                below[chain[-1]].add(seg[level])
+        for chain, seg in zip(chains, paths, strict=True):
+            if level < len(seg):
+                chain.append((*chain[-1], "<*>" if len(below[chain[-1]]) > branching else seg[level]))
+    bad, n = Counter(), Counter()
+    for chain, (_, _, rule) in zip(chains, found, strict=True):
+        for node in chain if rule else ():
+            n[node] += 1
+            bad[node] += rules[rule] == "block"
+    prior = sum(bad[x] for x in n if len(x) == 1) / max(1, sum(n[x] for x in n if len(x) == 1))
+    families = defaultdict(list)
+    for x in n:
+        if len(x) > 1:
+            families[x[:-1]].append(x)
+    gone = {x: (bad[x] + weight * prior) / (n[x] + weight) >= reject for x in n}
+    for own in families.values():
+        fb, fn = sum(bad[x] for x in own), sum(n[x] for x in own)
+        alike = [x for x in own if fn > n[x] and abs(bad[x] / n[x] - (fb - bad[x]) / (fn - n[x])) <= 1.96 * (fb / fn * (1 - fb / fn) * (1 / n[x] + 1 / (fn - n[x]))) ** 0.5]
+        for x in alike:
+            gone[x] = (sum(bad[y] for y in alike) + weight * prior) / (sum(n[y] for y in alike) + weight) >= reject
+    return [rules[rule] if rule else "block" if next((gone[x] for x in chain[::-1] if x in gone), False) else "allow" for chain, (_, _, rule) in zip(chains, found, strict=True)]
+
+
+def test_tree_equals_brute_force_and_decides_rows(spark, small):
+    urls = [r["url"] for r in spark.read.parquet(f"{small}/pages.parquet").select("url").collect()]
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}" for a in "bcdfgklm" for b in ("o", "u", "an")]
+    for _ in range(1500):
+        host = ("a.net", "b.net", "shop.example.com", "www.example.com", "c.org")[rng.integers(5)]
+        urls.append(f"http://{host}/" + "/".join([("es", "fr", "en", "x")[rng.integers(4)], *(words[k] for k in rng.integers(0, len(words), rng.integers(0, 6)))]))
+    urls += [None, "http://a.net/es/" + "p/" * 3000]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(df).collect()}
+    want = brute_tree(urls, RULES)
+    assert [got[k] for k in range(len(urls))] == want
+    free = [v for v, u in zip(want, urls, strict=True) if brute_rule(u)[2] is None]
+    assert min(free.count("block"), free.count("allow")) > 50
+
+
 def test_template_tree_rejects_bad_branches(spark):
     rules = (("block", "s.org/bad/1"), ("allow", "s.org/good/1"))
     urls = [f"http://s.org/bad/{k}" for k in range(10, 60)] + [f"http://s.org/good/{k}" for k in range(10, 60)]
