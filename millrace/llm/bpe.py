@@ -69,8 +69,11 @@ UNICODE_16 = (
 @lru_cache(maxsize=1)
 def unsure_characters() -> frozenset[str]:
     """Characters that the regex module's tables call letters or numbers and Python's don't."""
-    everything = "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
-    return frozenset(c for kind in "LN" for c in regex.findall(rf"\p{{{kind}}}", everything) if unicodedata.category(c)[0] != kind)
+    step, out = 1 << 12, set()
+    for at in range(0, sys.maxunicode + 1, step):
+        part = "".join(map(chr, range(at, at + step)))
+        out.update(c for kind in "LN" for c in regex.findall(rf"\p{{{kind}}}", part) if unicodedata.category(c)[0] != kind)
+    return frozenset(out)
 
 
 class WordBpe:
@@ -106,6 +109,7 @@ class WordBpe:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        del spec, model, pairs, made
         self.forget()
 
     def forget(self) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -102,7 +104,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]]
     bound_batches(df.sparkSession)
     ship(df.sparkSession)
     new = {n for n, _ in add}
-    kept = [f for f in df.schema.fields if f.name not in new and (keep is None or f.name in keep)]
+    folded = {n.lower() for n in new}
+    kept = [f for f in df.schema.fields if f.name.lower() not in folded and (keep is None or f.name in keep)]
     schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in add)])
     names = [f.name for f in kept]
 
@@ -111,15 +114,25 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]]
 
         step = make()
         types = [to_arrow_type(t) for _, t in add]
-        for batch in batches:
-            values = step(batch)
-            made = [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, type=t) for v, t in zip(values, types, strict=True)]
-            made = [v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for v in made]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], [*names, *(n for n, _ in add)])
+        try:
+            for batch in batches:
+                values = step(batch)
+                made = [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, type=t) for v, t in zip(values, types, strict=True)]
+                made = [v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for v in made]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], [*names, *(n for n, _ in add)])
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks and stages, beside the next ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
     """Texts one at a time; null counts as empty."""
     for x in batch.column(name):

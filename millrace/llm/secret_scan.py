@@ -41,7 +41,7 @@ WIDTH = LEFT + BODY + RIGHT
 EMBED, FILTERS, SPAN = 12, 32, 5
 PAD, OTHER = 128, 129
 TRAIN_ROWS, SEED, EPOCHS, RECALL = 8000, 7, 5, 0.98
-SCORE_ROWS = 1024
+SCORE_ROWS = 128
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
 
