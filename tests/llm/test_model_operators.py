@@ -362,6 +362,44 @@ def test_licences_and_inheritance(spark):
     assert license_scan.scan(files.limit(0)).count() == 0
 
 
+def test_licence_query_equals_brute_force(spark, small):
+    """Every document by plain loops over all passages and templates, then the best licence file of the nearest directory."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source", "lang").collect()]
+    word = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]")
+    words = lambda t: [w.rstrip(".") for w in word.findall(t.lower())]
+    df = Counter(w for _, t, _, _ in docs for w in set(words(t)))
+    known = {w for _, t in license_scan.TEMPLATES for w in words(t)}
+
+    def vector(t):
+        raw = {w: (1 + math.log(c)) * (math.log((1 + len(docs)) / (1 + df[w])) + 1e-3 if w in known else math.log1p(len(docs))) for w, c in Counter(words(t)).items()}
+        norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
+        return {w: x / norm for w, x in raw.items()}
+
+    templates = [(name, vector(t)) for name, t in license_scan.TEMPLATES]
+    own, told = {}, {}
+    for i, t, source, lang in docs:
+        lines = t.split("\n")
+        passages = [(x, k, k + 1) for k, line in enumerate(lines) for x in (line, *re.split(r"(?<=[.;!?])\s+", line))] + [(t, 0, len(lines))]
+        breaks = [-1, *(k for k, line in enumerate(lines) if not line.strip()), len(lines)]
+        passages += [("\n".join(lines[a + 1 : b]), a + 1, b) for a, b in zip(breaks, breaks[1:]) if b - a > 2]
+        best, hit = (0.0, ""), set()
+        for x, a, b in passages:
+            if license_scan.TRIGGER.search(x):
+                v = vector(x)
+                top = min(((-round(sum(v.get(w, 0) * y for w, y in u.items()), 9), name) for name, u in templates), default=(0.0, ""))
+                best = min(best, top)
+                hit |= set(range(a, b)) if top[0] <= -0.55 else set()
+        if best[0] <= -0.55:
+            own[i] = (best[1], best[0])
+            if sum(len(words(lines[k])) for k in hit) >= 0.5 * len(words(t)):
+                told[source, lang] = min(told.get((source, lang), (0.0, "")), best)
+    got = {r["doc_id"]: r for r in QUERIES["op3_licenses"](spark, small).collect()}
+    for i, _, source, lang in docs:
+        want = (own[i][0], "text") if i in own else (told[source, lang][1], f"{source}/{lang}") if (source, lang) in told else (None, None)
+        assert (got[i]["license"], got[i]["license_from"]) == want, i
+    assert told and sum(r["license_from"] not in (None, "text") for r in got.values()) > 10
+
+
 def test_cosines_equal_brute_force():
     m = license_scan.Matcher(100, {"license": 20, "the": 90})
     text = "Licensed under the MIT license, and more."
