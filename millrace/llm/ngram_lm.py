@@ -4,31 +4,35 @@ The model is a bigram model with Dirichlet smoothing towards the unigram base:
 
     p(w | u) = (c(u, w) + mu * p(w)) / (c(u) + mu),   p(w) = (c(w) + a) / (N + a (V + 1))
 
-``u`` is the previous token if it makes at least 1 / ``CONTEXTS`` of the training
-tokens, else the class of rarer words; so there can't be more than ``CONTEXTS``
-contexts whatever the corpus, and their table is broadcast. All else is sharded.
+``u`` is the previous token, or the end token before a text's first word, so that c(u)
+is u's own count. Every context is kept: the model's tables grow with the corpus.
 
 1. Blocks of documents are tokenised and their distinct training tokens counted; the
    counts meet in one shuffle (word hash, count).
 2. Blocks are tokenised again. To every shard a block sends its distinct pairs (word
-   hash, context) and their training counts, as one row. Words frequent enough to be
-   contexts are dealt by word and context, the others by word, so a very common word
-   doesn't fill one shard. One more row says which documents use which pairs how often.
+   hash, context hash) and their training counts, as one row. Words that make at least
+   1 / ``FREQUENT`` of the training tokens are dealt by word and context, the others by
+   word, so a very common word doesn't fill one shard; those words are at most
+   ``FREQUENT`` whatever the corpus, and with their counts go to every task. Further rows
+   say which documents use which pairs how often, and where each context's count stands.
 3. A shard adds the counts of all blocks, builds its trie - level one the words, level
    two the contexts below each word, with pointers between - and answers the blocks'
-   pairs from the memory-mapped levels: a row of quantised codes for each block.
-4. A block's answers meet its uses, and its documents' sums are taken. So what moves
-   grows with the distinct pairs of blocks and with the text, not with the shards.
-
-A trie's monotone sequences (hashes, pointers, contexts offset by their word's place)
-are Elias-Fano coded; smoothed log-probabilities are quantised to 16 bits between the
-shard's extremes. A lookup is a successor search within the word's own range of
-contexts. Pairs that training lacks fall back to mu * p(w) / (c(u) + mu), exactly.
+   pairs from the memory-mapped levels: a row of quantised codes for each block. What it
+   keeps is the smoothed numerator, c(u, w) + mu * p(w); beside it goes the word's count.
+4. A block's answers meet its uses. Every context is also a word of its block, so its
+   count is among the answers; the block divides by c(u) + mu and takes its documents'
+   sums. What moves grows with the distinct pairs of blocks and with the text.
+
+A trie's monotone sequences (word hashes, context hashes, pointers, contexts offset by
+their word's place) are Elias-Fano coded; the logarithms of the smoothed numerators are
+quantised to 16 bits between the shard's extremes. A lookup finds the word, follows its
+pointers and searches the successor within the word's own range of contexts. Pairs that
+training lacks have the numerator mu * p(w), exactly.
 
 Edge cases: null and empty texts have the end token alone; a null id counts as the
 empty text for the hold-out rule; repeated rows are scored once each and, unless
 held out, learnt once each; without training tokens every score is the uniform base.
-Words are told apart by 64-bit hashes.
+Words are told apart by 64-bit hashes, the contexts of one word by 48 bits of theirs.
 """
 
 from __future__ import annotations
@@ -49,9 +53,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import bound_batches, checkpointed, ship, texts_of
 
-CONTEXTS, MU, ALPHA, SEED = 1 << 16, 300.0, 0.1, 42
+FREQUENT, MU, ALPHA, SEED = 1 << 16, 300.0, 0.1, 42
+#: Bits of its hash that a context goes without: three in four bytes of it travel.
+SHORT = np.uint64(16)
 BLOCK_CHARS, BLOCK_DOCS = 8 << 20, 50_000
-END = xxhash.xxh64_intdigest(b"", SEED)  # no word is empty
 #: Codes of the quantised probabilities run from 0 to LEVELS; LACKING marks a pair that training lacks.
 LEVELS, LACKING = (1 << 16) - 2, (1 << 16) - 1
 
@@ -91,6 +96,19 @@ class EliasFano:
         words = np.frombuffer(packed.tobytes(), dtype="<u8")
         zeros = 64 - np.bitwise_count(words).astype(np.int64)
         self.zeros = np.r_[0, np.cumsum(zeros)]  # zeros before each 64-bit word
+        self.ones = np.arange(len(self.zeros)) * 64 - self.zeros
+
+    @staticmethod
+    def nth(bits: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """The place of the set bit with ``need`` set ones below it, by halving each 64-bit word."""
+        pos = np.zeros(len(bits), dtype=np.int64)
+        for width in (32, 16, 8, 4, 2, 1):
+            ones = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
+            go = need >= ones
+            need = np.where(go, need - ones, need)
+            bits = np.where(go, bits >> np.uint64(width), bits)
+            pos += go * width
+        return pos
 
     def bucket(self, h: np.ndarray) -> np.ndarray:
         """How many values have a high part below ``h``: the ones before zero number h."""
@@ -98,18 +116,7 @@ class EliasFano:
         some = np.flatnonzero(h > 0)
         k = h[some] - 1  # the k-th zero, from 0
         word = np.searchsorted(self.zeros, k, side="right") - 1
-        need = k - self.zeros[word]
-        raw = self.high.view("<u8")
-        left = ~raw[word]
-        pos = np.zeros(len(k), dtype=np.int64)
-        for width in (32, 16, 8, 4, 2, 1):  # halve the word that holds the zero sought
-            mask = np.uint64((1 << width) - 1)
-            ones = np.bitwise_count(left & mask).astype(np.int64)
-            go = need >= ones
-            need = np.where(go, need - ones, need)
-            left = np.where(go, left >> np.uint64(width), left)
-            pos += go * width
-        out[some] = word * 64 + pos - k
+        out[some] = word * 64 + self.nth(~self.high.view("<u8")[word], k - self.zeros[word]) - k
         return out
 
     def low_at(self, i: np.ndarray) -> np.ndarray:
@@ -125,18 +132,12 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at places ``i``."""
-        lo, hi = np.zeros(len(i), np.int64), np.full(len(i), self.buckets, np.int64)
-        while True:  # the last bucket that begins at or before i
-            open_ = hi - lo > 1
-            if not open_.any():
-                break
-            mid = (lo + hi) // 2
-            up = self.bucket(mid) <= i
-            lo, hi = np.where(open_ & up, mid, lo), np.where(open_ & ~up, mid, hi)
-        return (lo.astype(np.uint64) << np.uint64(self.low_bits)) | self.low_at(i)
+        word = np.searchsorted(self.ones, i, side="right") - 1
+        high = word * 64 + self.nth(self.high.view("<u8")[word], i - self.ones[word]) - i
+        return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self.low_at(i)
 
-    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The place of the first value not below each ``x``, and whether it equals it."""
+    def successor(self, x: np.ndarray, within: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the first value not below each ``x``, and whether it equals it; in the places ``within`` if given."""
         x = x.astype(np.uint64)
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
@@ -146,6 +147,8 @@ class EliasFano:
         lo, hi = self.bucket(h), self.bucket(h + 1)
         lo = np.where(inside, lo, self.n)
         hi = np.where(inside, hi, self.n)
+        if within:
+            lo, hi = np.clip(lo, *within), np.clip(hi, *within)
         end = hi.copy()
         want = x & np.uint64((1 << self.low_bits) - 1)
         while True:
@@ -163,32 +166,40 @@ class EliasFano:
 
 
 class Trie:
-    """Words, the contexts below each, and the pairs' quantised log10 probabilities."""
+    """Words, the contexts below each, and the pairs' quantised logarithms."""
 
     def __init__(self, words: np.ndarray, word_of: np.ndarray, contexts: np.ndarray, logs: np.ndarray, folder: str):
-        """words: sorted hashes; word_of, contexts: the pairs in order; logs: their log10 probabilities."""
+        """words: sorted hashes; word_of, contexts: the pairs in order; logs: their values."""
         self.words = EliasFano(words, folder, "words")
+        known, place = np.unique(contexts, return_inverse=True)
+        self.contexts, self.span = EliasFano(known, folder, "contexts"), np.uint64(max(len(known), 1))
         self.pointers = EliasFano(np.r_[0, np.cumsum(np.bincount(word_of, minlength=len(words)))], folder, "pointers")
-        self.pairs = EliasFano(word_of.astype(np.uint64) * np.uint64(2 * CONTEXTS) + contexts.astype(np.uint64), folder, "pairs")
+        self.pairs = EliasFano(word_of.astype(np.uint64) * self.span + place.astype(np.uint64), folder, "pairs")
         self.least = float(logs.min()) if len(logs) else 0.0
         self.step = max((float(logs.max()) - self.least) / LEVELS, 1e-12) if len(logs) else 1.0
         at = os.path.join(folder, "logs")
         np.rint((logs - self.least) / self.step).astype("<u2").tofile(at)
         self.logs = np.memmap(at, dtype="<u2", mode="r", shape=(len(logs),)) if len(logs) else np.zeros(0, "<u2")
 
-    def lookup(self, words: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each pair's word's place and whether it is known, and the pair's code, ``LACKING`` where the trie lacks it."""
+    def lookup(self, words: np.ndarray, sizes: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's place and whether it is known, and its ``sizes`` contexts' codes, ``LACKING`` where the trie lacks one."""
+        codes = np.full(len(contexts), LACKING, dtype=np.uint16)
         place, known = self.words.successor(words)
+        if not known.any():
+            return np.zeros(len(words), np.int64), known, codes
         place = np.where(known, place, 0)
-        at, found = self.pairs.successor(place.astype(np.uint64) * np.uint64(2 * CONTEXTS) + contexts.astype(np.uint64))
-        found &= known
-        codes = np.full(len(words), LACKING, dtype=np.uint16)
-        codes[found] = self.logs[at[found]]
+        begin, end = self.children(place)
+        spread = np.repeat(np.arange(len(words)), sizes)
+        some = np.flatnonzero(known[spread])
+        own, seen = self.contexts.successor(contexts[some])
+        some, own, spread = some[seen], own[seen], spread[some[seen]]
+        at, found = self.pairs.successor(place[spread].astype(np.uint64) * self.span + own.astype(np.uint64), (begin[spread], end[spread]))
+        codes[some[found]] = self.logs[at[found]]
         return place, known, codes
 
     def children(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The range of pairs below each word."""
-        return self.pointers.get(places), self.pointers.get(places + 1)
+        return self.pointers.get(places).astype(np.int64), self.pointers.get(places + 1).astype(np.int64)
 
 
 def held(doc_ids: list) -> np.ndarray:
@@ -257,7 +268,7 @@ def unbundle(data: bytes, n: int) -> list[np.ndarray]:
 
 
 ASKED = {"shard": pa.int32(), "block": pa.string(), "start": pa.int64(), "words": pa.binary(), "contexts": pa.binary(), "counts": pa.binary()}
-ANSWERED = {"block": pa.string(), "start": pa.int64(), "codes": pa.binary(), "lacking": pa.binary(), "counts": pa.binary(), "least": pa.float64(), "step": pa.float64()}
+ANSWERED = {"block": pa.string(), "start": pa.int64(), "codes": pa.binary(), "about": pa.binary(), "counts": pa.binary(), "least": pa.float64(), "step": pa.float64()}
 
 
 def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -268,7 +279,8 @@ def requests(docs: DataFrame, frequent: np.ndarray, shards: int) -> DataFrame:
     """Rows (shard, block, start, words, contexts, counts): the pairs that a block asks of a shard.
 
     A block numbers its distinct pairs by shard; ``start`` is a row's first number. The
-    row with start -1 has the block's uses (document and pair, times) and its documents.
+    row with start -1 has the block's uses (document and pair, times) and its documents,
+    the row with start -2 for each pair the number of a pair of its context's word.
     """
 
     def run(batches):
@@ -276,55 +288,62 @@ def requests(docs: DataFrame, frequent: np.ndarray, shards: int) -> DataFrame:
         for n, (ids, rows) in enumerate(blocks(batches)):
             block = f"{part}-{n}"
             hashes, at, doc = numbered(rows)
-            common = np.zeros(len(hashes), bool)
-            context_of = np.zeros(len(hashes), np.int64)  # 0: rarer words
+            n_words = len(hashes)
+            common = np.zeros(n_words, bool)
             if len(frequent):
-                where = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-                common = frequent[where] == hashes
-                context_of = np.where(common, where + 1, 0)
+                common = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
             first = np.r_[True, doc[1:] != doc[:-1]]
-            before = np.where(first, CONTEXTS + 1, context_of[np.r_[0, at[:-1]]])
-            pairs, place = np.unique(at * (2 * CONTEXTS) + before, return_inverse=True)
-            word, contexts = pairs // (2 * CONTEXTS), (pairs % (2 * CONTEXTS)).astype(np.uint32)
+            before = np.where(first, 0, np.r_[0, at[:-1]])
+            pairs, place = np.unique(at * n_words + before, return_inverse=True)
+            word, context = pairs // n_words, pairs % n_words
+            contexts = hashes[context] >> SHORT
             counts = np.bincount(place, weights=~held(ids)[doc], minlength=len(pairs)).astype(np.uint32)
-            mixed = hashes[word] ^ np.where(common[word], (contexts.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+            mixed = hashes[word] ^ np.where(common[word], (contexts + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
             shard = ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(shards)
             by = np.argsort(shard, kind="stable")
             number = np.empty(len(by), np.int64)
             number[by] = np.arange(len(by))
+            one_of = np.empty(n_words, np.int64)
+            one_of[word] = number
             owners, starts = np.unique(shard[by], return_index=True)
             out = []
             for s, a, b in zip(owners.tolist(), starts.tolist(), [*starts[1:].tolist(), len(by)], strict=True):
                 own = by[a:b]
                 w = word[own]
                 new = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-                sizes = np.diff(np.r_[new, len(w)]).astype(np.uint32)
-                out.append((s, block, a, hashes[w[new]].tobytes(), planes(np.r_[np.uint32(len(new)), sizes, contexts[own]]), planes(counts[own])))
+                sizes = np.diff(np.r_[new, len(w)]).astype(np.uint64)
+                out.append((s, block, a, hashes[w[new]].tobytes(), planes(np.r_[np.uint64(len(new)), sizes, contexts[own]]), planes(counts[own])))
                 if len(out) >= 256:
                     yield _batch(out, ASKED)
                     out = []
             uses, times = np.unique(doc * len(pairs) + number[place], return_counts=True)
             about = bundle(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids]), np.bincount(doc, minlength=len(ids)))
-            out.append((zlib.crc32(block.encode()) % shards, block, -1, planes(np.diff(uses, prepend=0)), about, planes(times.astype(np.uint32))))
+            any_shard = zlib.crc32(block.encode()) % shards
+            out.append((any_shard, block, -1, planes(np.diff(uses, prepend=0)), about, planes(times.astype(np.uint32))))
+            out.append((any_shard, block, -2, planes(one_of[context[by]].astype(np.uint32)), b"", b""))
             yield _batch(out, ASKED)
 
     return docs.mapInArrow(run, "shard int, block string, start long, words binary, contexts binary, counts binary")
 
 
-def answers(asked: DataFrame, frequent: np.ndarray, counts: np.ndarray, ends: tuple[int, int], total: int, distinct: int, mu: float, alpha: float) -> DataFrame:
-    """Rows (block, start, codes, lacking, counts, least, step): each request's answer; rows of uses pass through.
+def answers(asked: DataFrame, frequent: np.ndarray, counts: np.ndarray, total: int, distinct: int, mu: float, alpha: float) -> DataFrame:
+    """Rows (block, start, codes, about, counts, least, step): each request's answer; rows of uses pass through.
 
-    frequent, counts: hashes and training counts of the contexts, in order; ends: training
-    documents (contexts of a text's first token) and the tokens of all rarer contexts.
+    frequent, counts: sorted hashes and training counts of the frequent words.
     """
-    start_count, rare_count = ends
-    size = np.r_[rare_count, counts, np.zeros(CONTEXTS - len(counts)), start_count].astype(np.float64)
     floor = total + alpha * (distinct + 1)
 
     def pairs_of(words: bytes, contexts: bytes):
-        raw = unplanes(contexts, "<u4")
+        raw = unplanes(contexts, "<u8")
         n = int(raw[0])
-        return np.repeat(np.frombuffer(words, dtype=np.uint64), raw[1 : n + 1]), raw[n + 1 :]
+        return np.frombuffer(words, dtype=np.uint64), raw[1 : n + 1].astype(np.int64), raw[n + 1 :]
+
+    def counts_of(words: np.ndarray, own: np.ndarray):
+        """Words' counts: frequent ones are dealt by context, so a shard's own sum is a part only."""
+        if not len(frequent) or not len(words):
+            return own
+        at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
+        return np.where(frequent[at] == words, counts[at], own)
 
     def merge(parts):
         w, c, k = (np.concatenate([p[j] for p in parts]) for j in range(3))
@@ -347,7 +366,8 @@ def answers(asked: DataFrame, frequent: np.ndarray, counts: np.ndarray, ends: tu
                 writer = writer or pa.ipc.new_stream(spool, batch.schema)
                 writer.write_batch(batch)
                 for words, contexts, number in zip(batch.column("words"), batch.column("contexts"), batch.column("counts"), strict=True):
-                    w, c = pairs_of(words.as_py(), contexts.as_py())
+                    w, sizes, c = pairs_of(words.as_py(), contexts.as_py())
+                    w = np.repeat(w, sizes)
                     k = unplanes(number.as_py(), "<u4").astype(np.int64)
                     some = k > 0
                     parts.append((w[some], c[some], k[some]))
@@ -359,62 +379,60 @@ def answers(asked: DataFrame, frequent: np.ndarray, counts: np.ndarray, ends: tu
                 return
             writer.close()
             spool.close()
-            w, c, k = merge(parts or [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))])
+            w, c, k = merge(parts or [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))])
             first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.zeros(0, np.int64)
             words = w[first]
             sums = np.add.reduceat(k, first) if len(first) else k
             word_of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(w)]))
-            if len(frequent) and len(words):  # dealt by context, so the shard's own sum is a part only
-                at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
-                sums = np.where(frequent[at] == words, counts[at], sums)
-            own = (sums + alpha) / floor
-            logs = np.log10((k + mu * own[word_of]) / (size[c] + mu))
+            sums = counts_of(words, sums)
+            logs = np.log10(k + mu * ((sums + alpha) / floor)[word_of])
             trie = Trie(words, word_of, c, logs, folder)
             del w, k, logs, word_of, parts
             source = pa.memory_map(os.path.join(folder, "asked"))
             for batch in pa.ipc.open_stream(source):
                 out = []
                 for row in batch.to_pylist():
-                    w, c = pairs_of(row["words"], row["contexts"])
-                    place, known, codes = trie.lookup(w, c)
-                    number = np.where(known, sums[place] if len(sums) else 0, 0)
-                    if len(frequent):
-                        at = np.minimum(np.searchsorted(frequent, w), len(frequent) - 1)
-                        number = np.where(frequent[at] == w, counts[at], number)
-                    gone = codes == LACKING
-                    lacking = np.log10(mu * (number[gone] + alpha) / floor / (size[c[gone]] + mu))
-                    out.append((row["block"], row["start"], planes(codes), lacking.astype("<f4").tobytes(), planes(number.astype(np.int64)), trie.least, trie.step))
+                    w, sizes, c = pairs_of(row["words"], row["contexts"])
+                    place, known, codes = trie.lookup(w, sizes, c)
+                    number = counts_of(w, np.where(known, sums[place] if len(sums) else 0, 0))
+                    out.append((row["block"], row["start"], planes(codes), b"", planes(np.repeat(number, sizes).astype(np.int64)), trie.least, trie.step))
                 if out:
                     yield _batch(out, ANSWERED)
             source.close()
             del trie
 
-    return asked.mapInArrow(run, "block string, start long, codes binary, lacking binary, counts binary, least double, step double")
+    return asked.mapInArrow(run, "block string, start long, codes binary, about binary, counts binary, least double, step double")
 
 
-def sums_of(found: DataFrame, total: int, distinct: int, alpha: float) -> DataFrame:
+def sums_of(found: DataFrame, total: int, distinct: int, mu: float, alpha: float) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score) of every document, from its block's answers."""
     floor = total + alpha * (distinct + 1)
     kinds = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(table: pa.Table) -> pa.Table:
-        logs, counts, uses = [], [], None
+        logs, counts, uses, context_at = [], [], None, None
         rows = sorted(((x, k) for k, x in enumerate(table.column("start").to_pylist())))
         for start, k in rows:
-            codes, lacking, number = (table.column(c)[k].as_py() for c in ("codes", "lacking", "counts"))
-            if start < 0:
+            codes, about, number = (table.column(c)[k].as_py() for c in ("codes", "about", "counts"))
+            if start == -2:
+                context_at = unplanes(codes, "<u4")
+                continue
+            if start == -1:
                 if uses is not None:
                     raise ValueError("a block's uses came twice")
-                uses, times, (ids, null, lengths) = np.cumsum(unplanes(codes, "<i8")), unplanes(number, "<u4").astype(np.float64), unbundle(lacking, 3)
+                uses, times, (ids, null, lengths) = np.cumsum(unplanes(codes, "<i8")), unplanes(number, "<u4").astype(np.float64), unbundle(about, 3)
                 continue
             own = unplanes(codes, "<u2")
             if start != sum(map(len, logs)):
                 raise ValueError("a block lacks answers")
             value = table.column("least")[k].as_py() + table.column("step")[k].as_py() * own.astype(np.float64)
-            value[own == LACKING] = np.frombuffer(lacking, "<f4")
+            count = unplanes(number, "<i8")
+            gone = own == LACKING
+            value[gone] = np.log10(mu * (count[gone] + alpha) / floor)
             logs.append(value)
-            counts.append(unplanes(number, "<i8"))
+            counts.append(count)
         value, number = np.concatenate(logs), np.concatenate(counts)
+        value -= np.log10(number[context_at] + mu)
         doc, pair = uses // len(value), uses % len(value)
         base = np.log10((number + alpha) / floor)
         known, first, score = (np.bincount(doc, weights=times * x[pair], minlength=len(ids)) for x in (number > 0, base, value))
@@ -432,17 +450,12 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mu: float
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = checkpointed(token_counts(own))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # At most CONTEXTS rows, as each takes its share of the total.
-    end = END - (1 << 64) if END >> 63 else END
-    top = {r["h"]: r["c"] for r in counts.where((F.col("c") * CONTEXTS >= total) | (F.col("h") == end)).collect()}
-    ends = top.get(end, 0)
-    rare = total - sum(top.values())
-    if ends * CONTEXTS < total:
-        top.pop(end, None)
+    # At most FREQUENT rows, as each takes its share of the total.
+    top = {r["h"]: r["c"] for r in counts.where(F.col("c") * FREQUENT >= total).collect()}
     order = sorted(top, key=lambda h: h & ((1 << 64) - 1))
     frequent = np.array([h & ((1 << 64) - 1) for h in order], dtype=np.uint64)
     number = np.array([top[h] for h in order], dtype=np.int64)
     parts = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = requests(own, frequent, 2 * parts).repartition(parts, "shard")
-    found = sums_of(answers(asked, frequent, number, (ends, rare), total, distinct, mu, alpha), total, distinct, alpha)
+    found = sums_of(answers(asked, frequent, number, total, distinct, mu, alpha), total, distinct, mu, alpha)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -103,18 +103,12 @@ def brute_lm(docs):
     c = Counter(w for k, ws in enumerate(toks) if not held[k] for w in ws)
     n, v = sum(c.values()), len(c)
     p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    often = {w for w in c if c[w] * ngram_lm.CONTEXTS >= n}
-    context = lambda ws, j: (0,) if j == 0 else ws[j - 1] if ws[j - 1] in often else (1,)
-    pairs, size = Counter(), Counter()
+    context = lambda ws, j: ws[j - 1] if j else ""
+    pairs = Counter()
     for k, ws in enumerate(toks):
         if not held[k]:
-            for j, w in enumerate(ws):
-                pairs[context(ws, j), w] += 1
-    starts = sum(not h for h in held.values())
-    rare = sum(x for w, x in c.items() if w not in often and w != "")
-    for w in often:
-        size[w] = c[w]
-    size[(0,)], size[(1,)] = starts, rare
+            pairs.update((context(ws, j), w) for j, w in enumerate(ws))
+    size = c
     out = []
     for k, (i, _) in enumerate(docs):
         ws = toks[k]
