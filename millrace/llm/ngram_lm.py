@@ -13,13 +13,13 @@ is u's own count. Every context is kept: the model's tables grow with the corpus
    hash, context hash) and their training counts, as one row. Words that make at least
    1 / ``FREQUENT`` of the training tokens are dealt by word and context, the others by
    word, so a very common word doesn't fill one shard; those words are at most
-   ``FREQUENT`` whatever the corpus, and with their counts go to every task. Further rows
-   say which documents use which pairs how often, and where each context's count stands.
+   ``FREQUENT`` whatever the corpus, and with their counts go to every task. One more row
+   has the block's texts as numbers of its words, from which the pairs follow again.
 3. A shard adds the counts of all blocks, builds its trie - level one the words, level
    two the contexts below each word, with pointers between - and answers the blocks'
    pairs from the memory-mapped levels: a row of quantised codes for each block. What it
    keeps is the smoothed numerator, c(u, w) + mu * p(w); beside it goes the word's count.
-4. A block's answers meet its uses. Every context is also a word of its block, so its
+4. A block's answers meet its texts. Every context is also a word of its block, so its
    count is among the answers; the block divides by c(u) + mu and takes its documents'
    sums. What moves grows with the distinct pairs of blocks and with the text.
 
@@ -32,7 +32,8 @@ training lacks have the numerator mu * p(w), exactly.
 Edge cases: null and empty texts have the end token alone; a null id counts as the
 empty text for the hold-out rule; repeated rows are scored once each and, unless
 held out, learnt once each; without training tokens every score is the uniform base.
-Words are told apart by 64-bit hashes, the contexts of one word by 48 bits of theirs.
+Words are told apart by 64-bit hashes, the contexts of one word by 40 bits of
+theirs, frequent contexts exactly.
 """
 
 from __future__ import annotations
@@ -54,8 +55,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import bound_batches, checkpointed, ship, texts_of
 
 FREQUENT, MU, ALPHA, SEED = 1 << 16, 300.0, 0.1, 42
-#: Bits of its hash that a context goes without: three in four bytes of it travel.
-SHORT = np.uint64(16)
+#: Bits of its hash that a rarer context goes without; frequent ones have their place in the list.
+SHORT = np.uint64(24)
 BLOCK_CHARS, BLOCK_DOCS = 8 << 20, 50_000
 #: Codes of the quantised probabilities run from 0 to LEVELS; LACKING marks a pair that training lacks.
 LEVELS, LACKING = (1 << 16) - 2, (1 << 16) - 1
@@ -275,12 +276,84 @@ def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
+def places(frequent: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash's place in the sorted list of frequent ones, and whether it is there."""
+    if not len(frequent):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    return at, frequent[at] == hashes
+
+
+class Pairs:
+    """A block's distinct pairs in the order of their shards; tokens and shards give the same order anywhere.
+
+    ``word`` and ``context`` (its word) of each pair, ``new`` where a pair's word or
+    shard differs from the one before; ``number`` and ``before``: the pair and the
+    context's word of each token. ``plain``: shards of the pairs by word and context.
+    """
+
+    def __init__(self, at: np.ndarray, doc: np.ndarray, words: int, deal):
+        self.before = np.where(np.r_[True, doc[1:] != doc[:-1]], 0, np.r_[0, at[:-1]])
+        pairs, of = np.unique(at * words + self.before, return_inverse=True)
+        word, context = pairs // words, pairs % words
+        self.plain = deal(word, context)
+        by = np.argsort(self.plain, kind="stable")
+        number = np.empty(len(by), np.int64)
+        number[by] = np.arange(len(by))
+        self.word, self.context, self.shard, self.number = word[by], context[by], self.plain[by], number[of]
+        self.new = np.r_[True, (self.word[1:] != self.word[:-1]) | (self.shard[1:] != self.shard[:-1])]
+
+
+def listed(frequent: np.ndarray, hashes: np.ndarray) -> bytes:
+    """Word hashes: frequent ones as their two-byte places."""
+    place, common = places(frequent, hashes)
+    return np.uint32(len(hashes)).tobytes() + np.packbits(common).tobytes() + place[common].astype("<u2").tobytes() + hashes[~common].tobytes()
+
+
+def unlisted(frequent: np.ndarray, data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    mask = (n + 7) // 8
+    common = np.unpackbits(np.frombuffer(data, np.uint8, mask, 4), count=n).astype(bool)
+    k = int(common.sum())
+    out = np.empty(n, np.uint64)
+    out[common] = frequent[np.frombuffer(data, "<u2", k, 4 + mask)] if k else 0
+    out[~common] = np.frombuffer(data, "<u8", n - k, 4 + mask + 2 * k)
+    return out
+
+
+def turned(a: np.ndarray) -> bytes:
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes()
+
+
+def coded(sizes: np.ndarray, contexts: np.ndarray) -> bytes:
+    """How many contexts each word has, and the contexts: frequent ones as two bytes, others as five."""
+    rare = contexts >= FREQUENT
+    return zlib.compress(turned(sizes.astype("<u4")) + np.packbits(rare).tobytes() + turned(contexts[~rare].astype("<u2")) + turned((contexts[rare] - np.uint64(FREQUENT)).astype("<u8")), 1)
+
+
+def decoded(data: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    data, at = zlib.decompress(data), 0
+
+    def take(n: int, kind: str) -> np.ndarray:
+        nonlocal at
+        size = np.dtype(kind).itemsize
+        at += n * size
+        return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at - n * size).reshape(size, -1).T).view(kind).ravel()
+
+    sizes = take(words, "<u4").astype(np.int64)
+    n = int(sizes.sum())
+    rare = np.unpackbits(take((n + 7) // 8, "u1"), count=n).astype(bool)
+    contexts = np.empty(n, np.uint64)
+    contexts[~rare] = take(n - int(rare.sum()), "<u2")
+    contexts[rare] = take(int(rare.sum()), "<u8") + np.uint64(FREQUENT)
+    return sizes, contexts
+
+
 def requests(docs: DataFrame, frequent: np.ndarray, shards: int) -> DataFrame:
     """Rows (shard, block, start, words, contexts, counts): the pairs that a block asks of a shard.
 
     A block numbers its distinct pairs by shard; ``start`` is a row's first number. The
-    row with start -1 has the block's uses (document and pair, times) and its documents,
-    the row with start -2 for each pair the number of a pair of its context's word.
+    row with start -1 has the pairs' shards, the block's tokens and its documents.
     """
 
     def run(batches):
@@ -288,39 +361,29 @@ def requests(docs: DataFrame, frequent: np.ndarray, shards: int) -> DataFrame:
         for n, (ids, rows) in enumerate(blocks(batches)):
             block = f"{part}-{n}"
             hashes, at, doc = numbered(rows)
-            n_words = len(hashes)
-            common = np.zeros(n_words, bool)
-            if len(frequent):
-                common = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
-            first = np.r_[True, doc[1:] != doc[:-1]]
-            before = np.where(first, 0, np.r_[0, at[:-1]])
-            pairs, place = np.unique(at * n_words + before, return_inverse=True)
-            word, context = pairs // n_words, pairs % n_words
-            contexts = hashes[context] >> SHORT
-            counts = np.bincount(place, weights=~held(ids)[doc], minlength=len(pairs)).astype(np.uint32)
-            mixed = hashes[word] ^ np.where(common[word], (contexts + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
-            shard = ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(shards)
-            by = np.argsort(shard, kind="stable")
-            number = np.empty(len(by), np.int64)
-            number[by] = np.arange(len(by))
-            one_of = np.empty(n_words, np.int64)
-            one_of[word] = number
-            owners, starts = np.unique(shard[by], return_index=True)
+            place, common = places(frequent, hashes)
+            keys = np.where(common, place.astype(np.uint64), (hashes >> SHORT) + np.uint64(FREQUENT))
+
+            def deal(word, context, hashes=hashes, common=common, keys=keys):
+                mixed = hashes[word] ^ np.where(common[word], (keys[context] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+                return (((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(shards)).astype(np.uint32)
+
+            p = Pairs(at, doc, len(hashes), deal)
+            counts = np.bincount(p.number, weights=~held(ids)[doc], minlength=len(p.word)).astype(np.uint32)
+            owners, starts = np.unique(p.shard, return_index=True)
             out = []
-            for s, a, b in zip(owners.tolist(), starts.tolist(), [*starts[1:].tolist(), len(by)], strict=True):
-                own = by[a:b]
-                w = word[own]
-                new = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-                sizes = np.diff(np.r_[new, len(w)]).astype(np.uint64)
-                out.append((s, block, a, hashes[w[new]].tobytes(), planes(np.r_[np.uint64(len(new)), sizes, contexts[own]]), planes(counts[own])))
+            for s, a, b in zip(owners.tolist(), starts.tolist(), [*starts[1:].tolist(), len(p.word)], strict=True):
+                new = np.flatnonzero(p.new[a:b])
+                sizes = np.diff(np.r_[new, b - a])
+                out.append((s, block, a, listed(frequent, hashes[p.word[a:b][new]]), coded(sizes, keys[p.context[a:b]]), planes(counts[a:b])))
                 if len(out) >= 256:
                     yield _batch(out, ASKED)
                     out = []
-            uses, times = np.unique(doc * len(pairs) + number[place], return_counts=True)
             about = bundle(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids]), np.bincount(doc, minlength=len(ids)))
-            any_shard = zlib.crc32(block.encode()) % shards
-            out.append((any_shard, block, -1, planes(np.diff(uses, prepend=0)), about, planes(times.astype(np.uint32))))
-            out.append((any_shard, block, -2, planes(one_of[context[by]].astype(np.uint32)), b"", b""))
+            # Words are numbered as they come, the end token first: a new one is marked, others are told by number.
+            seen = np.maximum.accumulate(np.r_[0, at[:-1]])
+            tokens = np.where(at > seen, 0, at + 1).astype(np.uint32)
+            out.append((zlib.crc32(block.encode()) % shards, block, -1, planes(p.plain), planes(tokens), about))
             yield _batch(out, ASKED)
 
     return docs.mapInArrow(run, "shard int, block string, start long, words binary, contexts binary, counts binary")
@@ -334,16 +397,13 @@ def answers(asked: DataFrame, frequent: np.ndarray, counts: np.ndarray, total: i
     floor = total + alpha * (distinct + 1)
 
     def pairs_of(words: bytes, contexts: bytes):
-        raw = unplanes(contexts, "<u8")
-        n = int(raw[0])
-        return np.frombuffer(words, dtype=np.uint64), raw[1 : n + 1].astype(np.int64), raw[n + 1 :]
+        words = unlisted(frequent, words)
+        return words, *decoded(contexts, len(words))
 
     def counts_of(words: np.ndarray, own: np.ndarray):
         """Words' counts: frequent ones are dealt by context, so a shard's own sum is a part only."""
-        if not len(frequent) or not len(words):
-            return own
-        at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
-        return np.where(frequent[at] == words, counts[at], own)
+        at, there = places(frequent, words)
+        return np.where(there, counts[at], own) if len(frequent) else own
 
     def merge(parts):
         w, c, k = (np.concatenate([p[j] for p in parts]) for j in range(3))
@@ -395,7 +455,7 @@ def answers(asked: DataFrame, frequent: np.ndarray, counts: np.ndarray, total: i
                     w, sizes, c = pairs_of(row["words"], row["contexts"])
                     place, known, codes = trie.lookup(w, sizes, c)
                     number = counts_of(w, np.where(known, sums[place] if len(sums) else 0, 0))
-                    out.append((row["block"], row["start"], planes(codes), b"", planes(np.repeat(number, sizes).astype(np.int64)), trie.least, trie.step))
+                    out.append((row["block"], row["start"], planes(codes), b"", planes(number.astype(np.int64)), trie.least, trie.step))
                 if out:
                     yield _batch(out, ANSWERED)
             source.close()
@@ -410,32 +470,35 @@ def sums_of(found: DataFrame, total: int, distinct: int, mu: float, alpha: float
     kinds = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(table: pa.Table) -> pa.Table:
-        logs, counts, uses, context_at = [], [], None, None
-        rows = sorted(((x, k) for k, x in enumerate(table.column("start").to_pylist())))
-        for start, k in rows:
-            codes, about, number = (table.column(c)[k].as_py() for c in ("codes", "about", "counts"))
-            if start == -2:
-                context_at = unplanes(codes, "<u4")
-                continue
-            if start == -1:
-                if uses is not None:
-                    raise ValueError("a block's uses came twice")
-                uses, times, (ids, null, lengths) = np.cumsum(unplanes(codes, "<i8")), unplanes(number, "<u4").astype(np.float64), unbundle(about, 3)
-                continue
-            own = unplanes(codes, "<u2")
-            if start != sum(map(len, logs)):
+        starts = table.column("start").to_pylist()
+        order = sorted(range(len(starts)), key=starts.__getitem__)
+        own = lambda k, *names: [table.column(c)[k].as_py() for c in names]
+        if starts[order[0]] != -1 or starts.count(-1) != 1:
+            raise ValueError("a block's texts came twice or not at all")
+        shard, tokens, about = own(order[0], "codes", "about", "counts")
+        tokens, (ids, null, lengths) = unplanes(tokens, "<u4").astype(np.int64), unbundle(about, 3)
+        at = np.where(tokens == 0, np.cumsum(tokens == 0), tokens - 1)
+        doc, words = np.repeat(np.arange(len(ids)), lengths), int(at.max()) + 1
+        p = Pairs(at, doc, words, lambda word, context: unplanes(shard, "<u4"))
+        value, number, done = np.empty(len(p.word)), [], 0
+        for k in order[1:]:
+            codes, counts, least, step = own(k, "codes", "counts", "least", "step")
+            codes = unplanes(codes, "<u2")
+            if starts[k] != done:
                 raise ValueError("a block lacks answers")
-            value = table.column("least")[k].as_py() + table.column("step")[k].as_py() * own.astype(np.float64)
-            count = unplanes(number, "<i8")
-            gone = own == LACKING
-            value[gone] = np.log10(mu * (count[gone] + alpha) / floor)
-            logs.append(value)
-            counts.append(count)
-        value, number = np.concatenate(logs), np.concatenate(counts)
-        value -= np.log10(number[context_at] + mu)
-        doc, pair = uses // len(value), uses % len(value)
-        base = np.log10((number + alpha) / floor)
-        known, first, score = (np.bincount(doc, weights=times * x[pair], minlength=len(ids)) for x in (number > 0, base, value))
+            value[done : done + len(codes)] = np.where(codes == LACKING, np.nan, least + step * codes.astype(np.float64))
+            number.append(unplanes(counts, "<i8"))
+            done += len(codes)
+        if done != len(value):
+            raise ValueError("a block lacks answers")
+        number = np.concatenate(number)[np.cumsum(p.new) - 1]
+        gone = np.isnan(value)
+        value[gone] = np.log10(mu * (number[gone] + alpha) / floor)
+        count = np.empty(words, np.int64)
+        count[p.word] = number
+        score = value[p.number] - np.log10(count + mu)[p.before]
+        base = np.log10((count + alpha) / floor)[at]
+        known, first, score = (np.bincount(doc, weights=x, minlength=len(ids)) for x in ((count > 0)[at], base, score))
         own_ids = [None if x else int(i) for i, x in zip(ids, null, strict=True)]
         return pa.table([pa.array(own_ids, pa.int64()), pa.array(held(own_ids)), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(first), pa.array(score)], schema=kinds)
 
