@@ -23,7 +23,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from functools import lru_cache
 
 import numpy as np
@@ -59,10 +59,13 @@ SMOOTH, SHARED, SCALE = 0.25, 0.15, 1000
 
 
 class Block:
-    __slots__ = ("text", "linked", "tag", "path", "flags")
+    """``depth``: the elements around it; ``shared``: those also around the block before; ``parent``: the second innermost."""
 
-    def __init__(self, text: str, linked: int, tag: str, path: tuple[int, ...], flags: frozenset[str]):
-        self.text, self.linked, self.tag, self.path, self.flags = text, linked, tag, path, flags
+    __slots__ = ("text", "linked", "tag", "flags", "depth", "shared", "parent")
+
+    def __init__(self, text: str, linked: int, tag: str, flags: frozenset[str], depth: int, shared: int, parent: int):
+        self.text, self.linked, self.tag, self.flags = text, linked, tag, flags
+        self.depth, self.shared, self.parent = depth, shared, parent
 
 
 @lru_cache(maxsize=20_000)
@@ -100,14 +103,24 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, int, frozenset[str]]] = []
     parts: list[str] = []
     linked, in_link, serial, at, n = 0, 0, 0, 0, len(page)
+    opened: Counter[str] = Counter()
+    low = 0  # the least depth since the last block
+
+    def cut(k: int) -> None:
+        nonlocal low
+        opened.subtract(t for t, _, _ in stack[k:])
+        del stack[k:]
+        low = min(low, k)
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, low
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 flags = stack[-1][2] if stack else frozenset()
-                out.append(Block(text, min(linked, len(text)), stack[-1][0] if stack else "body", tuple(s for _, s, _ in stack), flags))
+                parent = stack[-2][1] if len(stack) > 1 else 0
+                out.append(Block(text, min(linked, len(text)), stack[-1][0] if stack else "body", flags, len(stack), low, parent))
+                low = len(stack)
             parts.clear()
         linked = 0
 
@@ -153,27 +166,26 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if ending:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag] > 0:
+                cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         in_link = 0 if tag != "a" else in_link
         if stack and stack[-1][0] == "p":
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in CLOSES:
             ends, fences = CLOSES[tag]
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1 if any(opened[t] > 0 for t in ends) else -1, -1, -1):
                 if stack[k][0] in fences:
                     break
                 if stack[k][0] in ends:
-                    del stack[k:]
+                    cut(k)
                     break
         above = stack[-1][2] if stack else frozenset()
         own = flags_of(tag, attributes)
         if tag == "header" and "article" in above:
             own -= {"edge"}  # an article's own header holds its title
         serial += 1
+        opened[tag] += 1
         stack.append((tag, serial, above | own if own else above))
     close()
     return out
@@ -334,20 +346,14 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, int]]:
     for k, b in enumerate(blocks):
         if k:
             a = blocks[k - 1]
-            shared = 0
-            for x, y in zip(a.path, b.path, strict=False):
-                if x != y:
-                    break
-                shared += 1
-            near = shared / max(len(a.path), len(b.path), 1)
+            near = b.shared / max(a.depth, b.depth, 1)
             if a.flags == b.flags:
                 out.append((k - 1, k, int(SCALE * SMOOTH * (1 + near))))
             else:
                 out.append((k - 1, k, int(SCALE * SMOOTH * near / 2)))
-        parent = b.path[:-1]
-        if parent in last and last[parent] != k - 1 and blocks[last[parent]].flags == b.flags:
-            out.append((last[parent], k, int(SCALE * SHARED)))
-        last[parent] = k
+        if b.parent in last and last[b.parent] != k - 1 and blocks[last[b.parent]].flags == b.flags:
+            out.append((last[b.parent], k, int(SCALE * SHARED)))
+        last[b.parent] = k
     return [e for e in out if e[2] > 0]
 
 

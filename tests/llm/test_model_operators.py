@@ -163,6 +163,14 @@ class Article(HTMLParser):
         self.blocks[-1] += data if self.on else ""
 
 
+def test_blocks_know_their_depth_and_parents_at_any_depth():
+    deep = "<div>text " * 3000
+    blocks = html_extract.blocks_of(deep + "</section></b>" * 3000 + "<p>last")
+    assert [b.depth for b in blocks] == [*range(1, 3001), 3001] and [b.shared for b in blocks] == [0, *range(1, 3001)]
+    a, b, c = html_extract.blocks_of("<div><ul><li>a</li><li>b</ul></div><p>c")
+    assert (a.depth, b.depth, c.depth, b.shared, c.shared) == (3, 3, 1, 2, 0) and a.parent == b.parent != c.parent == 0
+
+
 def test_main_text_equals_the_articles(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = {r["page_id"]: r for r in QUERIES["op6_html"](spark, small).collect()}
