@@ -25,9 +25,9 @@ BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Limit Arrow batches by bytes, so that very long texts don't add up in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
@@ -95,13 +95,13 @@ def words_of(col, separator: str = SPACE_CLASS):
     return F.filter(F.split(F.coalesce(col, F.lit("")), separator), lambda w: w != "")
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], add: list[tuple[str, T.DataType]], keep: list[str] | None = None) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], add: list[tuple[str, T.DataType]], keep: list[str] | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Append columns computed from whole Arrow batches.
 
     ``make()`` runs once in each task and returns the function from a batch to the
     new columns' values. A column of ``df`` with a new column's name is replaced.
     """
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, batch_bytes)
     ship(df.sparkSession)
     new = {n for n, _ in add}
     folded = {n.lower() for n in new}

@@ -38,6 +38,8 @@ BLOCK = 1 << 14
 MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 #: One distinct text in SAMPLE tells which shingles are frequent: in OFTEN of them; the HOT most frequent are kept.
 SAMPLE, OFTEN, HOT = 16, 3, 1 << 19
+#: Bytes of an Arrow batch of texts whose shingles are hashed; the sets take several times as much.
+SET_BYTES = 2 << 20
 #: Open pairs a row above which another head is tried before all are compared, heads tried at most, members compared in one piece.
 PAIRS, TURNS, PAIR_BLOCK = 200, 4, 256
 
@@ -244,7 +246,7 @@ def shingle_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float
         return lambda batch: [_lists([shingles_of(t, shingle) for t in texts_of(batch, "text")])]
 
     # Frequent shingles by a sample of distinct texts: they only order the shingles.
-    sampled = map_rows(texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), sets, [("set", longs)], [])
+    sampled = map_rows(texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), sets, [("set", longs)], [], SET_BYTES)
     often = sampled.select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN)
     often = sorted((r["h"], r["c"]) for r in often.orderBy(F.desc("c"), "h").limit(HOT).collect())  # bounded
     hot = spark.sparkContext.broadcast((np.array([h for h, _ in often], np.int64), np.array([c for _, c in often], np.int64)))
@@ -260,7 +262,7 @@ def shingle_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float
 
         return step
 
-    firsts = stored(map_rows(texts, prefixes, [("n", long), ("rare", long), ("first", longs), ("odd", longs)], ["doc_id"]), "prefixes")
+    firsts = stored(map_rows(texts, prefixes, [("n", long), ("rare", long), ("first", longs), ("odd", longs)], ["doc_id"], SET_BYTES), "prefixes")
     rows = firsts.select(F.col("doc_id").alias("node"), F.col("n").cast("int"), F.col("rare").cast("int"), F.posexplode("first").alias("pos", "h"))
     each = Window.partitionBy("h")
     rows = checkpointed(rows.withColumn("least", F.min("node").over(each)).withColumn("most", F.max("node").over(each)).where("least < most").drop("least", "most"))
@@ -273,7 +275,7 @@ def shingle_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float
         x, y = (bits.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "ab")
         met = checkpointed(met.join(x, "a").join(y, "b").where(_can_be_alike(similarity)).select("a", "b").distinct())
         asked = checkpointed(met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct())
-        found = map_rows(own.join(small(asked, 16), "doc_id", "left_semi"), sets, [("set", longs)], ["doc_id"]).distinct()
+        found = map_rows(own.join(small(asked, 16), "doc_id", "left_semi"), sets, [("set", longs)], ["doc_id"], SET_BYTES).distinct()
         found = stored(found, "sets")
         x, y = found.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), found.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
