@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import bpe_encode
-from millrace.llm.common import fresh_path
+from millrace.llm.common import checkpointed, fresh_path, small
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.quality import judge
 from millrace.llm.queries import table, vocabulary
 from millrace.llm.secret_scan import redact
-from millrace.llm.simhash import keep_first, shingle_near_duplicates
+from millrace.llm.simhash import components, keep_first, near_duplicates, shingle_near_duplicates
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -24,9 +24,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _sized(kept.select(docs.columns))
 
 
+def _merged(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(doc_id, component_id): groups of two such tables that share a document become one.
+
+    Groups are linked by their smallest ids, so copies add no links of their own.
+    """
+    rows = x.select("doc_id", "component_id").union(y.select("doc_id", "component_id")).distinct()
+    rows = checkpointed(rows.withColumn("least", F.min("component_id").over(Window.partitionBy("doc_id"))))
+    labels = components(rows.where("least < component_id").select(F.col("least").alias("a"), F.col("component_id").alias("b")).distinct())
+    found = rows.join(small(labels, 16), F.col("least") == F.col("node"), "left")
+    return found.select("doc_id", F.coalesce("label", "least").alias("component_id")).distinct()
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group whose five-word shingles are alike by 0.8 or more."""
-    return keep_first(docs, shingle_near_duplicates(docs))
+    """One document stays of each group linked by SimHash, or by five-word shingles alike by 0.8 or more."""
+    return keep_first(docs, _merged(near_duplicates(docs.where("doc_id IS NOT NULL")), shingle_near_duplicates(docs)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

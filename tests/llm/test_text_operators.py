@@ -205,6 +205,36 @@ def test_appended_cut_and_edited_copies_all_meet(spark):
     assert got == want
 
 
+def test_pipeline_near_dedup_follows_simhash_and_shingles(spark):
+    """The stage's groups are those of brute force over both kinds of links, which each find what the other misses."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    texts = [(900, " \n"), (901, "\t")]
+    for k in range(8):
+        chorus, verse, other = ([f"{c}{x}" for x in rng.integers(0, 1 << 40, n)] for c, n in (("c", 41), ("v", 60), ("o", 60)))
+        song = chorus * 30
+        # Another verse leaves the fingerprint, fewer choruses and an appended passage leave the shingles; 2 meets 0 by 5 alone.
+        texts += [(10 * k + 2, " ".join([*song, *verse])), (10 * k + 5, " ".join([*song, *other])), (10 * k, " ".join([*chorus * 2, *other]))]
+        base = [f"w{x}" for x in rng.integers(0, 1 << 40, 300)]
+        texts += [(10 * k + 4, " ".join(base)), (10 * k + 3, " ".join([*base, *(f"p{x}" for x in range(50))]))]
+    sets, prints = {}, {i: brute_fingerprint(t) for i, t in texts}
+    for i, t in texts:
+        w = WORD.findall(t)
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    hashed = {(a, b) for a, b in pairs if (prints[a] ^ prints[b]).bit_count() <= 2}
+    alike = {(a, b) for a, b in pairs if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(hashed - alike) > 5 and len(alike - hashed) > 5
+    want = brute_components(list(sets), hashed | alike)
+    assert all(want[10 * k + 2] == 10 * k for k in range(8)) and not {(10 * k, 10 * k + 2) for k in range(8)} & (hashed | alike)
+    docs = spark.createDataFrame([*texts, (None, texts[0][1]), *texts[2:4], (999, texts[2][1])], "doc_id long, text string")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    kept = sorted(str(r["doc_id"]) for r in got.collect())
+    repeated = [i for i, _ in texts[2:4] if want[i] == i]
+    assert kept == sorted(["None", *(str(i) for i in [*(i for i in want if want[i] == i), *repeated])])
+
+
 def test_keep_first_on_odd_rows(spark):
     docs = odd(spark)
     kept = keep_first(docs, shingle_near_duplicates(docs))
