@@ -40,3 +40,14 @@ def top_per_group(df: DataFrame, groups: list[str], order: list, k: int) -> Data
 def sessions(events: DataFrame, user: str, ts: str, gap_s: int) -> DataFrame:
     """(user, session, start, stop, n): runs of a user's events with gaps under ``gap_s`` seconds."""
     return events.groupBy(F.session_window(F.col(ts).cast("timestamp"), f"{gap_s} seconds").alias("w"), user).agg(F.count("*").alias("n"))
+
+
+def not_in(left: DataFrame, column: str, right: DataFrame, of: str) -> DataFrame:
+    """Rows of ``left`` whose ``column`` is NOT IN the column ``of`` of ``right``, with SQL's rules for nulls.
+
+    Spark's own NOT IN broadcasts the right side whatever its size; here both sides are
+    dealt by key, and one row tells whether the right side is empty or holds a null.
+    """
+    told = right.agg(F.count("*").alias("_n"), F.count_if(F.col(of).isNull()).alias("_nulls"))
+    kept = left.join(right.select(F.col(of).alias("_of")), F.col(column) == F.col("_of"), "left_anti").crossJoin(F.broadcast(told))
+    return kept.where(F.col("_n").eqNullSafe(0) | ((F.col("_nulls") == 0) & F.col(column).isNotNull())).select(*left.columns)

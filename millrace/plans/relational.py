@@ -103,7 +103,8 @@ def q6_anti(spark, sf):
 
 @query("q6_not_in", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def q6_not_in(spark, sf):
-    return _sql(spark, sf, "SELECT o_orderkey FROM {orders} WHERE o_orderkey NOT IN (SELECT l_orderkey FROM {lineitem})", "orders", "lineitem")
+    o, i = _of(spark, sf, "orders", "lineitem")
+    return R.not_in(o.select("o_orderkey"), "o_orderkey", i.select("l_orderkey"), "l_orderkey")
 
 
 @query("q7_null_safe_join", "SELECT k, a, b FROM (SELECT nullif(c_mktsegment, 'BUILDING') AS k, count(*) AS a FROM customer GROUP BY 1) x JOIN (SELECT nullif(c_mktsegment, 'BUILDING') AS j, max(c_custkey) AS b FROM customer GROUP BY 1) y ON k IS NOT DISTINCT FROM j")

@@ -153,3 +153,20 @@ def test_filters_and_columns_reach_the_scan(spark, tiny, capsys):
     QUERIES["q1_scan"](spark, tiny).explain("formatted")
     told = capsys.readouterr().out
     assert "GreaterThanOrEqual(l_shipdate" in told and "l_tax" not in told
+
+
+def test_not_in_is_not_broadcast(spark, tiny, capsys):
+    left = spark.createDataFrame([(1,), (2,), (2,), (None,)], "a long")
+    for held in ([], [2, 3], [2, 2, None], [None]):
+        right = spark.createDataFrame([(x,) for x in held], "b long")
+        want = sorted(str(r[0]) for r in spark.sql("SELECT a FROM {l} WHERE a NOT IN (SELECT b FROM {r})", l=left, r=right).collect())
+        assert sorted(str(r[0]) for r in relational.not_in(left, "a", right, "b").collect()) == want
+    from millrace.plans.catalog import QUERIES
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        QUERIES["q6_not_in"](spark, tiny).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
