@@ -170,3 +170,45 @@ def test_not_in_is_not_broadcast(spark, tiny, capsys):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" not in capsys.readouterr().out
+
+
+def test_nearest_with_odd_vectors(spark):
+    """Zero and null vectors, copies (ties by id), other widths: as SQL ranks them, not a number first and null last."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    own = {i: list(map(float, rng.normal(size=4))) for i in range(1, 40)} | {50: [0.0] * 4, 51: None, 52: [1.0, None, 0.0, 0.0], 53: [1.0, 2.0]}
+    own |= {60 + i: own[7] for i in range(8)}
+    df = spark.createDataFrame(list(own.items()), "vec_id long, embedding array<double>")
+    q = df.where("vec_id in (7, 9, 20, 53)").select(F.col("vec_id").alias("qid"), "embedding")
+    got = {(r["qid"], r["rk"]): (r["vec_id"], r["cosine"]) for r in similarity.nearest(df, q, 12, 3).collect()}
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b)) / n, 6) if n else math.nan
+
+    key = lambda s: math.inf if s is None else -math.inf if math.isnan(s) else -s
+    for i in (7, 9, 20, 53):
+        want = sorted(((v, cosine(own[i], x)) for v, x in own.items() if v != i), key=lambda r: (key(r[1]), r[0]))[:12]
+        assert str([got[i, rk] for rk in range(1, 13)]) == str([(v, None if s is None else s + 0.0) for v, s in want])
+
+
+def test_approximate_equals_the_join_of_the_model(spark, tiny):
+    """The same neighbours as from joining candidate rows; no candidate becomes a row."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import Window
+
+    own = spark.read.parquet(f"{tiny}/embeddings.parquet")
+    q = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    for width in (1.0, 0.05):
+        near = similarity.approximate(own, q, width=width)
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+        x, y = (d.withColumn("v", array_to_vector(F.col("embedding").cast("array<double>"))) for d in (own, q))
+        model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=8, seed=7).fit(x)
+        met = model.approxSimilarityJoin(y, x, 2.0, "d").select("datasetA.qid", "datasetB.vec_id", F.round("d", 6).alias("d")).where("qid <> vec_id")
+        want = met.withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy("d", "vec_id"))).where("rk <= 10")
+        assert sorted(map(tuple, near.collect())) == sorted(map(tuple, want.collect()))
