@@ -212,3 +212,26 @@ def test_approximate_equals_the_join_of_the_model(spark, tiny):
         met = model.approxSimilarityJoin(y, x, 2.0, "d").select("datasetA.qid", "datasetB.vec_id", F.round("d", 6).alias("d")).where("qid <> vec_id")
         want = met.withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy("d", "vec_id"))).where("rk <= 10")
         assert sorted(map(tuple, near.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_jaccard_of_odd_sets(spark, monkeypatch):
+    """One word that all texts hold, copies, empty and null texts, several blocks and parts; no pair is a row before it counts."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = {i: "the " + " ".join(rng.choice(words, size=int(rng.integers(1, 30)))) for i in range(1, 120)} | {200: "", 201: None, 202: "the", 203: "the the"}
+    own = index.tokenised(spark.createDataFrame([(i, t) for i, t in texts.items()] + [(None, "the")], "doc_id long, text string"))
+    near = similarity.jaccard(own, own.where("doc_id % 3 = 0"), 0.2)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    sets = {i: set((t or "").split()) for i, t in texts.items()}
+    want = {(a, b): round(len(x & y) / len(x | y), 6) for a, x in sets.items() if a % 3 == 0 for b, y in sets.items() if a != b and x and y and len(x & y) / len(x | y) >= 0.2}
+    assert {(r["a"], r["b"]): r["jaccard"] for r in near.collect()} == pytest.approx(want) and len(want) > 50
+    from millrace.operators import blocks
+
+    pack = blocks.pack
+    monkeypatch.setattr(blocks, "pack", lambda df, *_: pack(df, 16, 64))
+    sets = lambda df: df.where("doc_id is not null and size(toks) > 0").select(F.col("doc_id").alias("id"), F.array_distinct(F.transform("toks", lambda t: F.xxhash64(t))).alias("v"), F.array().cast("array<bigint>").alias("marks"))
+    got = blocks.alike_sets(sets(own), sets(own.where("doc_id % 3 = 0")), 0.2, apart=10).collect()
+    assert {(r["a"], r["b"]): round(r["share"], 6) for r in got} == pytest.approx(want) and len(got) == len(want)
