@@ -256,3 +256,17 @@ def test_tfidf_of_rare_terms_and_empty_vectors(spark):
     one, three = math.hypot(w(1, 2), w(1, 1)), math.sqrt(w(2, 2) ** 2 + 2 * w(1, 1) ** 2)
     want = {(7, 3, round(w(2, 2) / three, 6), 1), (7, 1, round(w(1, 2) / one, 6), 2), (7, 4, 0.0, 3), (8, 4, 1.0, 1)}
     assert few == all_held == want
+
+
+def test_postings_need_no_shuffle_of_terms(spark):
+    """Ids in one row are counted in the scan; ids in several rows, null among them, are still brought together."""
+    rows = [(1, "b a b"), (2, ""), (3, None), (4, "a"), (4, "b a"), (None, "a c"), (None, "a")]
+    tok = index.tokenised(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r["tok"], r["doc_id"]): r["tf"] for r in index.postings(tok).collect()}
+    assert got == {("b", 1): 2, ("a", 1): 1, ("a", 4): 2, ("b", 4): 1, ("a", None): 2, ("c", None): 1}
+    places = {(r["tok"], r["doc_id"]): r["positions"] for r in index.positions(tok).collect()}
+    assert places == {("b", 1): [0, 2], ("a", 1): [1], ("a", 4): [0, 1], ("b", 4): [0], ("a", None): [0, 0], ("c", None): [1]}
+    for made in (index.postings(tok), index.positions(tok)):
+        assert "MapInArrow" in made._jdf.queryExecution().optimizedPlan().toString()
+    for made in (index.postings(tok.where("doc_id < 4")), index.positions(tok.where("doc_id < 4"))):
+        assert made.count() == 2 and "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
